@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import boilerplate, reading, terms, tokens
+from . import boilerplate, canonical, reading, sentences, terms, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,23 @@ def p1_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.frequent_sequences(read(spark, sf_dir, "documents"), read(spark, sf_dir, "acts")).selectExpr("kind", "name", "array_join(pattern, ' ') as pattern", "docs")
 
 
+def _checked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paras = read(spark, sf_dir, "paras").select(F.lit("paras").alias("tbl"), F.col("para_id").alias("row_id"), "text")
+    return paras.unionByName(read(spark, sf_dir, "issues").select(F.lit("issues").alias("tbl"), F.col("issue_id").alias("row_id"), F.col("context").alias("text")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.lookalike_rows(_checked_texts(spark, sf_dir), ["tbl", "row_id"])
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonical.in_one_form(_checked_texts(spark, sf_dir), ["tbl", "row_id"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split_sentences(sentences.distinct_texts(read(spark, sf_dir, "para_contexts")))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.marked_terms(read(spark, sf_dir, "documents")).where("mark is not null").select("term", "mark")
 
@@ -40,7 +58,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels")).select("doc_id", "level")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p7_found, p7_counts, p8_ids, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p3_found, p3_canonical, p6_found, p7_found, p7_counts, p8_ids, p10_found)}
 
 _P1_LINES = r"""
 lines as (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import boilerplate, canonical, reading, sentences, terms, tokens
+from . import boilerplate, canonical, names, reading, sentences, terms, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,12 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.in_one_form(_checked_texts(spark, sf_dir), ["tbl", "row_id"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "text")
+    paras = read(spark, sf_dir, "paras").select(F.lit("paras").alias("tbl"), F.col("para_id").alias("row_id"), "text")
+    return names.link(docs.unionByName(paras), read(spark, sf_dir, "registry"), ["tbl", "row_id"])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(sentences.distinct_texts(read(spark, sf_dir, "para_contexts")))
 
@@ -58,7 +64,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels")).select("doc_id", "level")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p3_found, p3_canonical, p6_found, p7_found, p7_counts, p8_ids, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p3_found, p3_canonical, p5_found, p6_found, p7_found, p7_counts, p8_ids, p10_found)}
 
 _P1_LINES = r"""
 lines as (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import boilerplate, canonical, names, reading, sentences, terms, tokens
+from . import boilerplate, canonical, language, leaks, names, reading, sentences, terms, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,24 @@ def p1_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.frequent_sequences(read(spark, sf_dir, "documents"), read(spark, sf_dir, "acts")).selectExpr("kind", "name", "array_join(pattern, ' ') as pattern", "docs")
 
 
+def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, contexts = read(spark, sf_dir, "documents"), read(spark, sf_dir, "para_contexts")
+    coder = language.corpus_coder(docs, contexts)
+    found = language.languages(docs, coder, "doc_id", True).select(F.lit("documents").alias("tbl"), "row_id", "line_no", "lang", "confidence")
+    paras = sentences.distinct_texts(contexts)
+    return found.unionByName(language.languages(paras, coder, "para_id", False).select(F.lit("para_contexts").alias("tbl"), "row_id", "line_no", "lang", "confidence"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, contexts = read(spark, sf_dir, "documents"), read(spark, sf_dir, "para_contexts")
+    coder = language.corpus_coder(docs, contexts)
+    wrong = (F.col("line_no") >= 0) | ~F.col("lang").eqNullSafe(F.col("stored"))
+    found = language.languages(docs, coder, "doc_id", True, stored="lang").select(F.lit("documents").alias("tbl"), "row_id", "line_no", "lang", "stored")
+    paras = contexts.groupBy("para_id").agg(F.min_by(F.struct("text", "lang"), F.struct("text", "lang")).alias("r")).select("para_id", "r.*")
+    found = found.unionByName(language.languages(paras, coder, "para_id", False, stored="lang").select(F.lit("para_contexts").alias("tbl"), "row_id", "line_no", "lang", "stored"))
+    return found.where(wrong).drop("stored")
+
+
 def _checked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     paras = read(spark, sf_dir, "paras").select(F.lit("paras").alias("tbl"), F.col("para_id").alias("row_id"), "text")
     return paras.unionByName(read(spark, sf_dir, "issues").select(F.lit("issues").alias("tbl"), F.col("issue_id").alias("row_id"), F.col("context").alias("text")))
@@ -60,11 +78,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(read(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels")).select("doc_id", "level")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p3_found, p3_canonical, p5_found, p6_found, p7_found, p7_counts, p8_ids, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_languages, p3_found, p3_canonical, p5_found, p6_found, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
 
 _P1_LINES = r"""
 lines as (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
-from . import boilerplate, canonical, language, leaks, names, reading, sentences, terms, tokens
+from . import boilerplate, canonical, language, leaks, names, pii, reading, sentences, terms, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,15 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.in_one_form(_checked_texts(spark, sf_dir), ["tbl", "row_id"])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(read(spark, sf_dir, "documents")).select("doc_id", "line_no", "kind").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.redacted(docs, pii.spans(docs))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "text")
     paras = read(spark, sf_dir, "paras").select(F.lit("paras").alias("tbl"), F.col("para_id").alias("row_id"), "text")
@@ -86,7 +95,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels")).select("doc_id", "level")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_languages, p3_found, p3_canonical, p5_found, p6_found, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_languages, p3_found, p3_canonical, p4_found, p4_redacted, p5_found, p6_found, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
 
 _P1_LINES = r"""
 lines as (

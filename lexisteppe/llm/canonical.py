@@ -134,7 +134,7 @@ def in_one_form(texts: DataFrame, keys: list[str], column: str = "text") -> Data
     Only rows with suspect characters are taken apart and put together again.
     """
     pieces = F.regexp_extract_all(F.col(column), F.lit(r"([ \t\n\r]+|[^ \t\n\r]+)"), F.lit(1))
-    numbered = texts.withColumn("_row", F.monotonically_increasing_id())
+    numbered = texts.select(*keys, column).withColumn("_row", F.monotonically_increasing_id())
     taken = checkpointed(numbered.where(F.col(column).rlike(SUSPECT)).select("_row", F.posexplode(pieces).alias("_at", "token")))
     members = canonical_members(texts, column)
     joined = sized_join(taken, members, ["token"], "left")

@@ -179,7 +179,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 18, lost: float =
     kind = documents.schema["doc_id"].dataType.simpleString()
     blocks: list[list[tuple[int, str]]] = [[]]
     room = block_words
-    for i, text in sorted({(r.item_id, r.text) for r in items.select("item_id", "text").where("text is not null").toLocalIterator()}):
+    for i, text in sorted({(r.item_id, r.text) for r in items.select("item_id", "text").where("text is not null and item_id is not null").toLocalIterator()}):
         room -= len(text) // 4
         if room < 0 and blocks[-1]:
             blocks.append([])

@@ -283,7 +283,7 @@ class Registry:
         """Whether no further capitalised word belongs to the same quoted or unquoted name."""
         for i, a, b in ((k - 1, words[k - 1][1] if k else 0, words[k][0]), (end, words[end - 1][1], words[end][0] if end < len(words) else 0)):
             if 0 <= i < len(words) and words[i][2][0].isupper() and regex.fullmatch(r"[ \-]+", line[a:b]) and words[i][2].lower() not in LEGAL_FORMS:
-                return i < k and "«" not in line and '"' not in line[:a] or i < k and not _inside_quotes(line, a)
+                return i < k and not _inside_quotes(line, a)
         return True
 
     def _whole(self, line: str, start: int, end: int) -> tuple[int, int]:
@@ -293,11 +293,13 @@ class Registry:
             a -= 1
         if b < len(line) and line[b] in "»\"”“":
             b += 1
-        before = line[:a].rstrip()
+        before = line[max(0, a - 80) : a]
+        cut = a - len(before)
+        before = before.rstrip()
         for form in LEGAL_FORMS:
             if before.lower().endswith(form) and not before[: -len(form)][-1:].isalpha():
-                return len(before) - len(form), b
-        after = line[b:]
+                return cut + len(before) - len(form), b
+        after = line[b : b + 80]
         for form in LEGAL_FORMS:
             if after.lstrip().lower().startswith(form):
                 return a, b + len(after) - len(after.lstrip()) + len(form)
@@ -305,7 +307,7 @@ class Registry:
 
 
 def _inside_quotes(line: str, at: int) -> bool:
-    return line.count("«", 0, at) > line.count("»", 0, at) or line.count('"', 0, at) % 2 == 1
+    return line.count("«", max(0, at - 300), at) > line.count("»", max(0, at - 300), at) or line.count('"', max(0, at - 300), at) % 2 == 1
 
 
 _SUSPECT = regex.compile(SUSPECT.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
@@ -318,7 +320,7 @@ def link(texts: DataFrame, registry: DataFrame, keys: list[str], column: str = "
     to the executors once; texts are neither shuffled nor compared with each other.
     """
     spark = texts.sparkSession
-    rows = sorted({(r.entity_id, r.kind, r.name) for r in registry.select("entity_id", "kind", "name").where("name is not null").toLocalIterator()})
+    rows = sorted({(r.entity_id, r.kind, r.name) for r in registry.select("entity_id", "kind", "name").where("name is not null and entity_id is not null").toLocalIterator()})
     schema = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys) + f", entity_id {registry.schema['entity_id'].dataType.simpleString()}"
     found = None
     for at in range(0, max(1, len(rows)), block):

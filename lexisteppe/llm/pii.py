@@ -69,10 +69,12 @@ CAPITAL = regex.compile(r"(?<![\p{L}\d])\p{Lu}(?:\p{L}+|(?=\.))")
 Candidate = tuple[int, int, str, tuple[int, ...], tuple[int, ...]]  # start, end, kind, votes, features
 
 
-def _line(text: str, at: int) -> tuple[int, int]:
-    start = text.rfind("\n", 0, at) + 1
-    end = text.find("\n", at)
-    return start, len(text) if end < 0 else end
+def _line(text: str, at: int, reach: int = 400) -> tuple[int, int]:
+    """The line around a place, as far as its context counts."""
+    low, high = max(0, at - reach), min(len(text), at + reach)
+    start = text.rfind("\n", low, at) + 1 or low
+    end = text.find("\n", at, high)
+    return start, high if end < 0 else end
 
 
 def _emails(text: str) -> Iterator[Candidate]:

@@ -124,7 +124,7 @@ def _ends(line: str, begin: int, s: int, e: int, after_close: bool) -> bool:
         return gap > 1 or nxt.isupper() or nxt.isdigit() or nxt in "«“„\"(" or not nxt.isalpha() or not nxt.islower()
     # a single full stop
     before = line[s - 1] if s else ""
-    if ITEM_NUMBER.match(line[begin:s]):
+    if s - begin <= 24 and ITEM_NUMBER.match(line[begin:s]):
         return False  # a leading item number, or a number still without its words
     if gap == 0:
         if before.isdigit() and (nxt.isdigit() or nxt.isalpha() and nxt.islower()):

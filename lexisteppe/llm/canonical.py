@@ -29,8 +29,8 @@ GREEK_AS = "АВЕZНІКМNОРТУХоарухік"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXoapuxik"
 TO_CYRILLIC = str.maketrans(LATIN + GREEK, LATIN_AS + GREEK_AS)
 TO_LATIN = str.maketrans(LATIN_AS + GREEK, LATIN + GREEK_AS_LATIN)
-INVISIBLE = r"­͏؜᠎​-‏‪-‮⁠-⁤⁪-⁯﻿"
-SPACES = r"   -     　"
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufeff"
+SPACES = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WIDE = r"０-９Ａ-Ｚａ-ｚ"
 LOOKING = regex.escape(LATIN.replace("Ә", "")) + GREEK
 

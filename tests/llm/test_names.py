@@ -10,7 +10,7 @@ ROWS = [(1, "person", "Техебкев Дмитрий Нурланович"), (
     [
         ("явился Техебкев Дмитрий Нурланович, вопросов", set()), ("явился Дмитрий Нурланович Техебкев.", {1}), ("дал Техебкев Д.Н., расчёт", {1}), ("дал Д. Н. Техебкев, расчёт", {1}),
         ("сдал Дима Техебкев", {1}), ("сдал Техебкев, Дмитрий, опись", {1}), ("сдал Техеббкев Д.Н.", {1}), ("явился Техебкев Марат", set()), ("явился Техебкев Дмитрий Маратович", set()),
-        ("ТЕХЕБКЕВ Дмитрий", {1}), ("Dmitriy Tekhebkev appeared", {1}), ("Бактожмов И.И.", {2}), ("Дмитрий Техекбева", set()), ("ТОО «Степномаш Транзит Авто» и", set()), ("ТОО \"Степномаш Транзит Авто\"", {3}),
+        ("ТЕХЕБКЕВ Дмитрий", {1}), ("Dmitriy Tekhebkev appeared", {1}), ("Бактожмов И.И.", {2}), ("Дмитрий Техекбева", {1}), ("Дмитрий Тукекбева", set()), ("Техекбева Д.Н.", set()), ("ТОО «Степномаш Транзит Авто» и", set()), ("ТОО \"Степномаш Транзит Авто\"", {3}),
         ("«Степномаш Транзит Авто» ТОО", {3}), ("АО «Степномаш-ТранзитАвто»", {3}), ("Stepnomash Tranzit Avto LLP", {3}), ("ТОО «СТА»", {3}), ("АО «Фарм Тұлпарлы»", {4}), ("ао «ТҰЛПАРЛЫ ФАРМ»", {4}),
         ("Товарищество с ограниченной ответственностью «Степномаш Фарм»", {5}), ("ТОО «Степномаш Жол»", set()), ("ТОО «Степомаш Фарм»", {5}), ("TOO «Степномаш Фарм»", {5}), ("", set()), ("Техебкев", set()),
     ],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,14 @@ WORD = rf"(?U)(?:\d+(?:[.,]\d+)*(?:-(?:\d+|[{LETTERS}]+))*)|([{LETTERS}]+(?:[-'
 TOKEN_TYPE = "array<struct<start:int,end:int,text:string,kind:string>>"
 
 
+_ALL_LETTERS = "".join(chr(c) for a, b in re.findall("(.)-(.)", LETTERS) for c in range(ord(a), ord(b) + 1)) + re.sub(".-.", "", LETTERS)
+
+
 def token_kind(piece: Column) -> Column:
-    return F.when(piece.rlike(r"(?U)^\d"), "number").when(piece.rlike(rf"^[{LETTERS}]"), "word").when(piece.rlike(r"(?U)^\s"), "space").otherwise("punct")
+    """By the first character; the common kinds need no regular expression."""
+    first = F.substring(piece, 1, 1)
+    rare = F.when(first.rlike(r"(?U)\d"), "number").when(first.rlike(r"(?U)\s"), "space").otherwise("punct")
+    return F.when(F.lit(_ALL_LETTERS).contains(first), "word").when(first == " ", "space").when(F.lit("0123456789").contains(first), "number").otherwise(rare)
 
 
 def tokens(text: Column) -> Column:
@@ -49,7 +57,7 @@ def sentence_end(lang: str) -> str:
     numbered = r"(?<!(?:\A|\n)\s{0,9}\d{1,9})"
     begins = r"(?=\s+[\p{Lu}\d«\"(])"
     close = r"[»\")\]]*"
-    return rf"(?U)(?<![.!?…])(?:[.!?…]+{close}(?=\s*\z)|[!?…][.!?…]*{close}{begins}|{short}{numbered}\.[.!?…]*{close}{begins})"
+    return rf"(?U)(?<![.!?…])(?:[.!?…]+{close}(?=\s*\z)|[!?…][.!?…]*{close}{begins}|(?=\.){short}{numbered}\.[.!?…]*{close}{begins})"
 
 
 def sentences(text: Column, lang: str = "ru") -> Column:

@@ -76,3 +76,12 @@ def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread: Column = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     return left.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small input comes in fewer partitions, for work that is heavy for each row.
+
+    A large input has partitions enough and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

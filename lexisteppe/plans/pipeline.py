@@ -38,7 +38,7 @@ def check(paragraphs: DataFrame, resources: Resources | None = None, settings: S
     """
     resources, settings = resources or Resources(), settings or Settings()
     known = resources.ru.forms if resources.ru else None
-    texts = checkpointed(with_languages(spread(paragraphs.select("doc_id", "para", "text")), "doc_id", settings.language, known))
+    texts = checkpointed(with_languages(spread(paragraphs.select("doc_id", "para", "text"), "doc_id"), "doc_id", settings.language, known))
     off = tuple(settings.disabled_rules)
     parts = [rule_issues(texts, default_rules(settings.sentence_words_limit, None, tuple(resources.user_rules)), disabled=off)]
     if "names.variants" not in off:

@@ -101,7 +101,7 @@ def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_LANG} select doc_id, para, coalesce(own, last_value(case when own <> 'mixed' then own end ignore nulls) over (partition by doc_id order by para rows between unbounded preceding and 1 preceding), 'ru') as lang from own""")
 def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_languages(_lines(spark, sf_dir)).select("doc_id", "para", "lang")
+    return with_languages(spread(corpus.paragraphs_of(read(spark, sf_dir, "documents")), "doc_id")).select("doc_id", "para", "lang")
 
 
 _CHARS = f"""{_LINES}, chars as (select doc_id, para, cast(i - 1 as integer) as start_pos, substring(text, i - 1, 1) as before, substring(text, greatest(i - 2, 0), least(i - 1, 2)) as before2,
@@ -159,20 +159,20 @@ def double_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = with_languages(_lines(spark, sf_dir))
+    t = with_languages(spread(corpus.paragraphs_of(read(spark, sf_dir, "documents")), "doc_id"))
     return t.select("doc_id", "para", F.size(sentences_by_language(F.col("text"), F.col("lang"))).alias("sentences"))
 
 
 @query()
 def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All paragraph rules over all lines of all documents, in one projection."""
-    found = rules.rule_issues(with_languages(_lines(spark, sf_dir)))
+    found = rules.rule_issues(with_languages(spread(corpus.paragraphs_of(read(spark, sf_dir, "documents")), "doc_id")))
     return found.groupBy("rule_id", "level").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query()
 def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = checkpointed(with_languages(_lines(spark, sf_dir)))
+    texts = checkpointed(with_languages(spread(corpus.paragraphs_of(read(spark, sf_dir, "documents")), "doc_id")))
     return names.variant_issues(texts).select("doc_id", "para", "start_pos", "end_pos", "message", F.array_join("suggestions", ", ").alias("suggestion"))
 
 
@@ -180,7 +180,7 @@ def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def official_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Court names of the acts as the official list, against all lines."""
     official = [r.court for r in read(spark, sf_dir, "acts").where("court is not null").groupBy("court").count().orderBy("court").select("court").limit(1_000).collect()]
-    return names.official_issues(with_languages(_lines(spark, sf_dir)), official, official).select("doc_id", "para", "start_pos", "end_pos", "message")
+    return names.official_issues(with_languages(spread(corpus.paragraphs_of(read(spark, sf_dir, "documents")), "doc_id")), official, official).select("doc_id", "para", "start_pos", "end_pos", "message")
 
 
 _NOISE = f"""with {_ISSUES}, files as (select count(distinct file_id) as total from docx_files),

@@ -78,10 +78,15 @@ def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where a small input comes in fewer partitions, for work that is heavy for each row.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores, for work that is heavy for each row.
 
-    A large input has partitions enough and is left as it is.
+    With keys, rows are partitioned by them into as many parts as shuffles have, which windows and groups over the
+    keys then use and which adaptive planning does not merge for their few bytes. Without keys, only an input of
+    fewer partitions than cores is moved; a large input has partitions enough and is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if keys:
+        return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores), *keys)
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -16,20 +16,24 @@ def has_kk_letters(word: Column) -> Column:
 
 
 def kk_letters(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{KK_LOWER}{KK_UPPER}]", ""))
+    return F.length(text) - F.length(F.translate(text, KK_LOWER + KK_UPPER, ""))
 
 
-def score(text: Column) -> Column:
-    """(kk, ru): three for a Kazakh letter, two for a frequent word."""
-    lowered = F.transform(words(text), F.lower)
+def lowered_words(text: Column) -> Column:
+    return F.transform(words(text), F.lower)
+
+
+def score(text: Column, lowered: Column | None = None) -> Column:
+    """(kk, ru): three for a Kazakh letter, two for a frequent word. ``lowered``: the text's words, if a column has them."""
+    lowered = lowered_words(text) if lowered is None else lowered
     kk = F.size(F.filter(lowered, lambda w: w.isin(*KK_WORDS)))
     ru = F.size(F.filter(lowered, lambda w: w.isin(*RU_WORDS) & ~w.isin(*KK_WORDS)))
     return F.struct((3 * kk_letters(text) + 2 * kk).alias("kk"), (2 * ru).alias("ru"))
 
 
-def evidence(text: Column) -> Column:
+def evidence(text: Column, lowered: Column | None = None) -> Column:
     """(kk, ru): words with Kazakh letters or of the Kazakh list, and words of the Russian list."""
-    lowered = F.transform(words(text), F.lower)
+    lowered = lowered_words(text) if lowered is None else lowered
     is_kk = lambda w: w.rlike(KK_LETTER) | w.isin(*KK_WORDS)
     kk = F.size(F.filter(lowered, is_kk))
     ru = F.size(F.filter(lowered, lambda w: ~is_kk(w) & w.isin(*RU_WORDS)))
@@ -54,6 +58,12 @@ def detect(text: Column, ru_known_words: Column | None = None) -> Column:
     return own_language(score(text)["kk"], score(text)["ru"], e["kk"], e["ru"] if ru_known_words is None else ru_known_words)
 
 
+def _scored(paragraphs: DataFrame, text: Column) -> DataFrame:
+    """Scores over one array of words, which is found once for each paragraph."""
+    low = paragraphs.withColumn("_low", lowered_words(text))
+    return low.withColumn("_score", score(text, F.col("_low"))).withColumn("_evidence", evidence(text, F.col("_low"))).drop("_low")
+
+
 def with_languages(paragraphs: DataFrame, key: str = "doc_id", mode: str = "auto", ru_known: DataFrame | None = None) -> DataFrame:
     """Paragraphs (key, para, text, ...) with a column ``lang``.
 
@@ -65,7 +75,7 @@ def with_languages(paragraphs: DataFrame, key: str = "doc_id", mode: str = "auto
         return paragraphs.withColumn("lang", F.lit(mode))
     text = F.coalesce(F.col("text"), F.lit(""))
     if ru_known is None:
-        own = paragraphs.withColumn("_score", score(text)).withColumn("_evidence", evidence(text))
+        own = _scored(paragraphs, text)
         own = own.withColumn("_own", own_language(F.col("_score.kk"), F.col("_score.ru"), F.col("_evidence.kk"), F.col("_evidence.ru")))
     else:
         from ..runtime import sized_join
@@ -73,7 +83,7 @@ def with_languages(paragraphs: DataFrame, key: str = "doc_id", mode: str = "auto
         candidate = F.filter(words(text), lambda w: ~w.rlike(KK_LETTER) & ~F.lower(w).isin(*KK_WORDS) & (F.length(w) >= 3))
         exploded = paragraphs.select(key, "para", F.explode(candidate).alias("form"))
         known = sized_join(exploded, ru_known.select("form").distinct(), ["form"], "left_semi").groupBy(key, "para").agg(F.count("*").alias("_known"))
-        own = paragraphs.join(known, [key, "para"], "left").withColumn("_score", score(text)).withColumn("_evidence", evidence(text))
+        own = _scored(paragraphs.join(known, [key, "para"], "left"), text)
         own = own.withColumn("_own", own_language(F.col("_score.kk"), F.col("_score.ru"), F.col("_evidence.kk"), F.coalesce("_known", F.lit(0))))
     before = Window.partitionBy(key).orderBy("para").rowsBetween(Window.unboundedPreceding, -1)
     carried = F.last(F.when(F.col("_own") != "mixed", F.col("_own")), ignorenulls=True).over(before)

@@ -49,7 +49,9 @@ def name_occurrences(paragraphs: DataFrame, keys: tuple[str, str] = ("doc_id", "
     are left out of Russian and mixed paragraphs.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = paragraphs.withColumn("_s", sentences_by_language(text, F.col("lang"))).withColumn("_t", F.filter(tokens(text), lambda t: (t["kind"] == "word") & (F.length(t["text"]) >= 5)))
+    # A name inside a sentence is a capital behind some character and four letters more.
+    may = paragraphs.where(text.rlike(rf"(?Us).\p{{Lu}}(?:[{X.LETTERS}]|[-'’]){{4,}}"))
+    base = may.withColumn("_s", sentences_by_language(text, F.col("lang"))).withColumn("_t", F.filter(tokens(text), lambda t: (t["kind"] == "word") & (F.length(t["text"]) >= 5)))
     found = base.select(*keys, "lang", "_s", F.explode("_t").alias("t")).where(title_case(F.col("t.text")) & ~is_patronymic(F.col("t.text")))
     inner = ~F.exists("_s", lambda s: s["start"] == F.col("t.start"))
     out = found.where(inner).select(*keys, "lang", F.col("t.start").alias("start_pos"), F.col("t.end").alias("end_pos"), F.col("t.text").alias("form"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed as X
 from ..functions.match import alternatives, expand, finditer
-from ..functions.segment import sentences_by_language, tokens
+from ..functions.segment import ALL_LETTERS, TOKEN_TYPE, sentences_by_language, tokens
 
 SUGGESTIONS = "array<string>"
 ISSUE_FIELDS = ("start_pos", "end_pos", "category", "level", "rule_id", "engine", "message", "suggestions", "seq")
@@ -27,7 +27,11 @@ RULE_STAGE = 9
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule's constants and what it finds: ``spans`` gives an array of (start, end, suggestions, message)."""
+    """A rule's constants and what it finds: ``spans`` gives an array of (start, end, suggestions, message).
+
+    ``may`` is a quick condition on the text without which a rule over tokens finds nothing; only where some such
+    condition holds are a paragraph's tokens and sentences found at all.
+    """
 
     id: str
     lang: str
@@ -36,6 +40,7 @@ class Rule:
     message: str
     spans: Callable[[], Column] = field(repr=False)
     engine: str = "rules"
+    may: Callable[[], Column] | None = field(default=None, repr=False)
 
 
 def _span(start: Column, end: Column, suggestions: Column, message: Column) -> Column:
@@ -211,6 +216,12 @@ def _not_after_privesti(m: Column, text: Column) -> Column:
     return ~near.rlike(r"(?U)(привест|привед|привод)\w*(\s+\S+){0,3}\s*\z")
 
 
+def _holds(*words: str) -> Callable[[], Column]:
+    """A quick test whether a text holds one of some words, in any case."""
+    pattern = rf"(?iuU)(?<!\w){alternatives(words, quote=False)}(?!\w)"
+    return lambda: F.col("text").rlike(pattern)
+
+
 def soglasno_rule(morphology: dict[str, tuple[bool, str]] | None = None) -> Rule:
     """Genitive after «согласно»: ``morphology`` maps a form to (genitive noun or adjective without a dative parse, its dative)."""
 
@@ -223,7 +234,7 @@ def soglasno_rule(morphology: dict[str, tuple[bool, str]] | None = None) -> Rule
         found = F.filter(numbered, lambda x: (F.lower(x["t"]["text"]) == "согласно") & F.element_at(table, F.lower(x["next"]["text"])).isNotNull())
         return F.transform(found, lambda x: _span(x["next"]["start"], x["next"]["end"], F.array(F.element_at(table, F.lower(x["next"]["text"]))), F.lit("The dative is wanted after «согласно»")))
 
-    return Rule("legal.soglasno", "ru", "grammar", "error", "The dative is wanted after «согласно»", spans)
+    return Rule("legal.soglasno", "ru", "grammar", "error", "The dative is wanted after «согласно»", spans, may=_holds("согласно"))
 
 
 def default_rules(sentence_words: int = 60, morphology: dict[str, tuple[bool, str]] | None = None, user_rules: tuple[Rule, ...] = ()) -> list[Rule]:
@@ -231,17 +242,17 @@ def default_rules(sentence_words: int = 60, morphology: dict[str, tuple[bool, st
     hyphen = lambda id, message, pattern, condition=None: pattern_rule(id, "kk", "typography", "error", message, pattern, r"\1-\2", 2, condition)
     return [
         *TYPOGRAPHY,
-        Rule("alpha.mixed", "any", "spelling", "error", _MIXED, _mixed_alphabet),
+        Rule("alpha.mixed", "any", "spelling", "error", _MIXED, _mixed_alphabet, may=lambda: F.col("text").rlike(rf"[A-Za-z][-'’]?[{X.CYR}]|[{X.CYR}][-'’]?[A-Za-z]")),
         Rule("alpha.roman", "any", "typography", "warning", _ROMAN, _roman),
         Rule("rep.double", "any", "style", "error", "The same word twice in a row", _double_word),
-        Rule("sent.long", "any", "style", "hint", "A very long sentence", _long_sentence(sentence_words)),
+        Rule("sent.long", "any", "style", "hint", "A very long sentence", _long_sentence(sentence_words), may=lambda: F.length(F.translate("text", ALL_LETTERS, "")) >= sentence_words),
         pattern_rule("legal.sootvetstvie", "ru", "grammar", "error", "«в соответствии с» is wanted", r"\bв соответствие (с|со)\b", r"в соответствии \1", 1, _not_after_privesti, True),
         pattern_rule("legal.v_techenie", "ru", "grammar", "error", "«в течение» is wanted of a time", rf"\bв течении(?= {alternatives(X.TIME_WORDS, quote=False)}\b)", "в течение", 0, None, True),
         soglasno_rule(morphology),
-        Rule("punct.comma_conj", "ru", "punctuation", "error", _COMMA, _comma_conj_ru),
-        Rule("kk.comma_conj", "kk", "punctuation", "error", _COMMA, _comma_conj_kk),
-        Rule("kk.comma_intro", "kk", "punctuation", "error", "A comma is wanted after the introductory word", _comma_intro_kk),
-        Rule("kk.da_de", "kk", "punctuation", "hint", "A comma is wanted between parts with repeated particles", _particles_kk),
+        Rule("punct.comma_conj", "ru", "punctuation", "error", _COMMA, _comma_conj_ru, may=_holds(*X.CONJUNCTIONS_RU, *(p.replace(" ", r"\s+") for p in X.CONJUNCTION_PAIRS_RU))),
+        Rule("kk.comma_conj", "kk", "punctuation", "error", _COMMA, _comma_conj_kk, may=_holds(*X.CONJUNCTIONS_KK, *(p.replace(" ", r"\s+") for p in X.CONJUNCTION_PAIRS_KK))),
+        Rule("kk.comma_intro", "kk", "punctuation", "error", "A comma is wanted after the introductory word", _comma_intro_kk, may=_holds(*X.INTRO_KK, *(p.split()[0] for p in X.INTRO_PAIRS_KK))),
+        Rule("kk.da_de", "kk", "punctuation", "hint", "A comma is wanted between parts with repeated particles", _particles_kk, may=_holds(*X.PARTICLES_KK)),
         hyphen("kk.hyphen_ordinal", "A hyphen is wanted between a number and its noun", rf"\b(\d+) ({alternatives(X.NUMBERED_NOUNS_KK, quote=False)}[{X.LOW_KK}]*)\b"),
         hyphen("kk.hyphen_suffix", "A hyphen is wanted before a number's suffix", rf"\b(\d+) ({alternatives(X.NUMBER_SUFFIXES_KK, quote=False)})\b"),
         hyphen("kk.hyphen_abbrev", "A hyphen is wanted before an abbreviation's affix", rf"\b([{X.UP}]{{2,6}})([{X.LOW_KK}]{{2,4}})\b", lambda m, _: m["g2"].isin(*X.ABBREVIATION_AFFIXES_KK)),
@@ -249,10 +260,14 @@ def default_rules(sentence_words: int = 60, morphology: dict[str, tuple[bool, st
     ]
 
 
-def enriched(paragraphs: DataFrame) -> DataFrame:
-    """Paragraphs with lang and text, and the arrays that token rules read."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    with_tokens = paragraphs.withColumn("text", text).withColumn("_tokens", tokens(F.col("text"))).withColumn("_sentences", sentences_by_language(F.col("text"), F.col("lang")))
+def enriched(paragraphs: DataFrame, needed: Column | None = None) -> DataFrame:
+    """Paragraphs with lang and text, and the arrays that token rules read, empty where they are not needed."""
+    base = paragraphs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    found, sentences = tokens(F.col("text")), sentences_by_language(F.col("text"), F.col("lang"))
+    if needed is not None:
+        base = base.withColumn("_needed", needed)
+        found, sentences = F.when(F.col("_needed"), found).otherwise(F.array().cast(TOKEN_TYPE)), F.when(F.col("_needed"), sentences).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    with_tokens = base.withColumn("_tokens", found).withColumn("_sentences", sentences)
     return with_tokens.withColumn("_solid", F.filter("_tokens", lambda t: t["kind"] != "space"))
 
 
@@ -273,14 +288,18 @@ def rule_issues(paragraphs: DataFrame, rules: list[Rule] | None = None, keys: tu
     Mixed paragraphs get the rules of no language; blank and null texts get none; disabled rules are not planned.
     """
     arrays = []
+    needed = F.lit(False)
     for order, rule in enumerate(rules if rules is not None else default_rules()):
         if rule.id in disabled:
             continue
         issues = F.transform(rule.spans(), _issue_of(rule, order))
         empty = F.array().cast(ISSUE_TYPE)
         applies = F.lit(True) if rule.lang == "any" else F.col("lang") == rule.lang
+        if rule.may is not None:
+            applies = applies & rule.may()
+            needed = needed | applies
         arrays.append(F.when(applies, F.coalesce(issues.cast(ISSUE_TYPE), empty)).otherwise(empty))
-    base = enriched(paragraphs.select(*keys, "text", "lang").where(F.col("text").rlike(r"(?U)\S")))
+    base = enriched(paragraphs.select(*keys, "text", "lang").where(F.col("text").rlike(r"(?U)\S")), needed)
     if not arrays:
         arrays = [F.array().cast(ISSUE_TYPE)]
     return base.select(*keys, F.inline(F.concat(*arrays)))

@@ -178,9 +178,10 @@ def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def official_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Court names of the acts as the official list, against all lines."""
-    official = [r.court for r in read(spark, sf_dir, "acts").where("court is not null").groupBy("court").count().orderBy("court").select("court").limit(1_000).collect()]
-    return names.official_issues(with_languages(spread(corpus.paragraphs_of(read(spark, sf_dir, "documents")), "doc_id")), official, official).select("doc_id", "para", "start_pos", "end_pos", "message")
+    """The organisations of the registry, a fixed table, as the official list, against all lines."""
+    official = [r.name for r in read(spark, sf_dir, "registry").where("kind = 'organisation' and name is not null").orderBy("entity_id").select("name").toLocalIterator()]
+    texts = with_languages(spread(corpus.paragraphs_of(read(spark, sf_dir, "documents")), "doc_id"))
+    return names.official_issues(texts, official, official).select("doc_id", "para", "start_pos", "end_pos", "message")
 
 
 _NOISE = f"""with {_ISSUES}, files as (select count(distinct file_id) as total from docx_files),
@@ -333,7 +334,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.stratified_sample(read(spark, sf_dir, "documents"), {"ru": 60, "kk": 60}, "1")
 
 
-_KNOWN = f"known as (select word as form from w where small group by 1 having count(*) >= 3)"
+_KNOWN = "known as (select word as form from w where small group by 1 having count(*) >= 3)"
 
 
 @query(f"with {_WORDS}, {_KNOWN} select w.word, cast(sum(n) as bigint) as n from w anti join known k on lower(w.word) = k.form where small group by 1")

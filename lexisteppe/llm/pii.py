@@ -7,8 +7,8 @@ train the final classifier of spans, a logistic one over votes and features. Bot
 whose size is bounded by the labelers, never by the data.
 
 Defined results: null and empty texts hold nothing; rows are taken as given (``doc_id`` is unique); of overlapping
-spans of different kinds all count, and in a redacted text the earliest and longest wins; texts keep everything
-else unchanged.
+spans all count, and in a redacted text the placeholder of the earliest and longest stands for all that they cover;
+texts keep everything else unchanged.
 """
 
 from __future__ import annotations
@@ -51,6 +51,8 @@ FIRM_AFTER = re.compile(r"^[ »]*(?:торг|и ко|және|ұлдары|и с
 STREET_BEFORE = re.compile(r"(?:ул|улица|улице|улицы|пр-т|проспект\w*|мкр|микрорайон\w*|пер|переулок|бульвар|площадь|пл|имени|им|атындағы)\.?[ ]*$", re.I)
 STREET_AFTER = re.compile(r"^ ?(?:көш\w*|к-сі|даңғыл\w*|street|road|lane|drive|avenue|ауданы)", re.I)
 STREET = re.compile(r"(?:\bул\.|\bулиц[аеыу]\b|\bпр-т\b|\bпросп(?:\.|ект)|\bмкр\b|\bмикрорайон|\bпереул\w+|\bпер\.|\bбульвар\w*|\bкөшесі|\bк-сі|\bдаңғыл\w*|\bықшам ?аудан\w*|\b(?:Street|Road|Lane|Drive|Avenue|Square|Court|Close)\b)", re.I)
+COMMON = frozenset(("court", "close", "square"))
+NUMBERED = re.compile(r"\d[\w/-]*(?: [\w'’.-]+){1,3} $")
 HOUSE = re.compile(r"(?:\bд(?:ом|\.)\s?\d|\bкв(?:артира|\.)?\s?\d|\d+\s?-?үй|\d+\s?-?пәтер|\b[Ff]lat \d|[ ,]\d{1,4}(?:[/-]\d{1,4})?\b)")
 PLACE = re.compile(r"(?:\bг\.|\bгород\b|\bқ\.|\bқаласы\b|\bпос\.|\bс\.\s|\bауылы\b|\p{Lu}\p{Ll}+(?:ск|град|горск|дар|төбе|кент|burgh|sk)\b)".replace(r"\p{Lu}", "[А-ЯЁA-ZӘҒҚҢӨҰҮІ]").replace(r"\p{Ll}", "[а-яёa-zәғқңөұүһі]"))
 LIVES = re.compile(r"(?:прожива|адресу|повестка|жительств|мекенжай|шақыру қағазы|тұратын|зарегистрирован по|lives at|served at|resides|address)", re.I)
@@ -123,18 +125,23 @@ def _numbers(text: str) -> Iterator[Candidate]:
 
 
 def _addresses(text: str) -> Iterator[Candidate]:
-    last = -1
+    """Every street word of a line is a candidate of its own; ``last`` is where the one before it on the line ends."""
+    last = 0
     for m in STREET.finditer(text):
         begin, stop = _line(text, m.start())
-        if begin == last:
-            continue
-        last = begin
+        last = max(begin, last)
         latin_form = m.group().isascii()
         s, e = max(begin, m.start() - 60), min(stop, m.end() + 60)
-        lives = LIVES.search(text, begin, m.start())
-        if lives:
-            s = lives.end()
-        house = HOUSE.search(text, s if latin_form else max(begin, m.start() - 12), e)
+        own = LIVES.search(text, last, m.start())
+        lives = own or LIVES.search(text, begin, m.start())
+        if own:
+            s = own.end()
+        elif lives:
+            s = max(s, lives.end())
+            if m.group() in COMMON and not NUMBERED.search(text, last, m.start()):  # "the court" behind somebody's address
+                lives = None
+        house = HOUSE.search(text, max(s, last) if latin_form else max(last, m.start() - 12), e)
+        last = m.end()
         yield s, e, "address", (
             1 if house else -1,
             1 if lives else -1,
@@ -288,11 +295,11 @@ def _tuple(text: str) -> tuple[int, ...]:
 def redacted(documents: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, text): every text with typed placeholders in place of its spans; null stays null.
 
-    A document's spans are folded from the left, so a span that begins inside an earlier one is skipped.
+    A document's spans are folded from the left, so a span that begins inside an earlier one only extends what that covers.
     """
     per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", (-F.col("end_pos")).alias("end_neg"), "kind"))).alias("spans"))
     joined = documents.select("doc_id", "text").join(per_doc, "doc_id", "left")
     folded = F.expr("""aggregate(spans, named_struct('out', '', 'at', 0),
-        (a, x) -> if(x.start_pos < a.at, a, named_struct('out', concat(a.out, substring(text, a.at + 1, x.start_pos - a.at), '[', upper(x.kind), ']'), 'at', -x.end_neg)),
+        (a, x) -> if(x.start_pos < a.at, named_struct('out', a.out, 'at', greatest(a.at, -x.end_neg)), named_struct('out', concat(a.out, substring(text, a.at + 1, x.start_pos - a.at), '[', upper(x.kind), ']'), 'at', -x.end_neg)),
         a -> concat(a.out, substring(text, a.at + 1)))""")
     return joined.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(folded).alias("text"))

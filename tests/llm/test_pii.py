@@ -49,3 +49,31 @@ def test_estimate_learns_a_useless_labeler():
 def test_phone_shapes(text):
     found = [c for c in P.candidates(f"Извещён звонком на номер {text} (дом.), ответил") if c[2] == "phone"]
     assert len(found) == 1 and found[0][3][0] == 1
+
+
+@pytest.mark.parametrize(
+    ("line", "hidden"),
+    [
+        ("Проживает по адресу: г. Новолуговск, ул. Дорохвалова, д. 21, кв. 93; прежде г. Степногорск, ул. Аксуйская, д. 48, кв. 1506.", ["Дорохвалова", "Аксуйская", "1506"]),
+        ("Проживает: ул. Дорохвалова, д. 21, " + "по словам соседей весьма давно, " * 4 + "зарегистрирован по ул. Аксуйская, д. 48.", ["Дорохвалова", "Аксуйская", "48"]),
+        ("The Court found that the claimant, who appeared in person and gave evidence, resides in Akdolsk, 48 Abai Street, flat 7.", ["Abai", "flat 7"]),
+        ("The court found that the claimant, who appeared in person and gave evidence, resides in Akdolsk, 48 Abai Street, flat 7.", ["Abai", "flat 7"]),
+    ],
+)
+def test_several_addresses_in_a_line(spark, line, hidden):
+    docs = _docs(spark, [TEXT + "\n" + line] * 20)
+    found = P.spans(docs)
+    assert found.where("line_no = 12 and kind = 'address' and doc_id = 3").count() >= 1
+    out = P.redacted(docs, found).where("doc_id = 3").first().text.split("\n")[12]
+    assert not [h for h in hidden if h in out], out
+
+
+def test_overlapping_spans_leave_nothing_readable(spark):
+    docs = _docs(spark, ["ab cdefgh ij"])
+    found = spark.createDataFrame([(0, 0, "address", 3, 6, 1.0), (0, 0, "phone", 5, 9, 1.0), (0, 0, "name", 4, 5, 1.0)], "doc_id bigint, line_no int, kind string, start_pos int, end_pos int, probability double")
+    assert P.redacted(docs, found).first().text == "ab [ADDRESS] ij"
+
+
+def test_the_court_behind_an_address_is_no_address():
+    found = [c for c in P.candidates("Resides in Akdolsk, 48 Abai Street, and told the court so; before, 5 abbey close") if c[2] == "address"]
+    assert [c[3][1] for c in found] == [1, -1, 1]

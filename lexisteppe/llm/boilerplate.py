@@ -10,6 +10,8 @@ count once and of several courts of one document the smallest name counts; extra
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,12 +74,14 @@ def repeated_lines(documents: DataFrame, acts: DataFrame, min_letters: int = 20,
     return hits.groupBy("doc_id", "line_no").agg(F.count("*").alias("groups")).select("doc_id", "line_no")
 
 
-def frequent_sequences(documents: DataFrame, acts: DataFrame, max_length: int = 3, min_letters: int = 20, min_docs: int = 5, min_share: float = 0.05) -> DataFrame:
-    """(kind, name, pattern, docs): frequent sequences of line hashes up to ``max_length``, with their support.
+def frequent_sequences(documents: DataFrame, acts: DataFrame, max_length: int | None = None, min_letters: int = 20, min_docs: int = 5, min_share: float = 0.05) -> DataFrame:
+    """(kind, name, pattern, docs): all frequent sequences of line hashes with their support; none longer than
+    ``max_length``, if that is given.
 
     Prefix growth: each level joins nothing but extends the projected databases, rows of (group, prefix, what
     follows it in one document), by every distinct next item, and keeps the prefixes with enough support.
-    Only frequent lines enter, which are few in each document.
+    Only frequent lines enter, which are few in each document. It ends with the first level that has no frequent
+    prefix: what follows a prefix gets shorter with each level. A notice of n lines has 2^n - 1 sequences.
     """
     seqs = checkpointed(sequences(documents, acts, min_letters))
     first = frequent_lines(seqs, min_docs, min_share)
@@ -86,7 +90,7 @@ def frequent_sequences(documents: DataFrame, acts: DataFrame, max_length: int =
     item = F.format_string("%016x%016x", "h1", "h2")
     projected = kept.groupBy("doc_id", "kind", "name", "least").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", item.alias("item")))), lambda x: x["item"]).alias("rest")).withColumn("pattern", F.array().cast("array<string>"))
     found = None
-    for _ in range(max_length):
+    for level in count(1):
         grown = projected.select("doc_id", "kind", "name", "least", "pattern", "rest", F.explode(F.array_distinct("rest")).alias("item"))
         grown = grown.select(
             "doc_id", "kind", "name", "least", F.concat("pattern", F.array("item")).alias("pattern"),
@@ -95,7 +99,9 @@ def frequent_sequences(documents: DataFrame, acts: DataFrame, max_length: int =
         support = grown.groupBy("kind", "name", "pattern").agg(F.count("*").alias("docs"), F.first("least").alias("least")).where("docs >= least").select("kind", "name", "pattern", "docs")
         support = checkpointed(support)
         found = support if found is None else found.unionByName(support)
-        projected = sized_join(grown, support.select("kind", "name", "pattern"), ["kind", "name", "pattern"], "left_semi").where(F.size("rest") > 0)
+        if level == max_length or support.isEmpty():
+            break
+        projected = checkpointed(sized_join(grown, support.select("kind", "name", "pattern"), ["kind", "name", "pattern"], "left_semi").where(F.size("rest") > 0))
     return found
 
 

@@ -58,3 +58,11 @@ def test_sequences_against_brute_force(spark):
             if len(s) <= 3:
                 support[s] += 1
     assert sorted(n for n in support.values() if n >= 2) == sorted(r.docs for r in found), names
+
+
+def test_sequences_of_any_length(spark):
+    notice = "\n".join(f"строка {x * 25}" for x in "абвгд")
+    rows = [(i, f"слово {i}\n{notice}", "s", None, None) for i in range(5)]
+    found = B.frequent_sequences(_docs(spark, rows), _acts(spark, [])).collect()
+    assert sorted(len(r.pattern) for r in found) == [1] * 5 + [2] * 10 + [3] * 10 + [4] * 5 + [5] and {r.docs for r in found} == {5}
+    assert max(len(r.pattern) for r in B.frequent_sequences(_docs(spark, rows), _acts(spark, []), max_length=2).collect()) == 2

@@ -61,6 +61,8 @@ LOCAL = re.compile(r"[\w.+\-]+ ?$")
 DOMAIN = re.compile(r"^ ?[\w\-]+(?: ?(?:\.|\((?:dot|точка)\)) ?[\w\-]+)+")
 MAIL = re.compile(r"(?:mailto:|почт|пошта|mail|писать|присыла|направить|жіберу|мекенжай|replies|copy sent|адрес|write)", re.I)
 NUMBER = re.compile(r"(?<![\w.,/])(?:\+|\()?\d[\d ().\-]{5,20}\d(?![\w/])|(?:(?<=ИИН)|(?<=иин)|(?<=ЖСН)|(?<=жсн)|(?<=IIN))\d{12}\b|\b[A-ZА-Я]{1,2} ?(?:№ ?)?\d{7,9}\b|№ ?\d{8,9}\b")
+RUN = re.compile(r"[\d ().+\-]*\d")
+PART = re.compile(r"[+(]*\d(?:[\d().\-]*\d)?")
 CALL = re.compile(r"(?:тел\b|тел\.|телефон|звон|хабарлас|хабарлау|қоңырау|call|phone|reached|\+7|whatsapp|сот\.)", re.I)
 IDENTITY = re.compile(r"(?:иин|жсн|\biin|удостоверени|паспорт|passport|куәлі|identity|личност|жеке бас|данные стороны|деректері)", re.I)
 OTHER_NUMBER = re.compile(r"(?:бин\b|бсн\b|\bbin\b|сч[её]т|шот\b|account|сумм|сома|amount|парти|batch|кадастр|дело №|іс\b|договор|contract|№ ?\d+-\d+-\d+|kz\d\d|код |доверенност|опись|тізімдеме|сенімхат|mandate|list no)", re.I)
@@ -95,18 +97,59 @@ def _emails(text: str) -> Iterator[Candidate]:
         ), (int(plain), int(text[s:e].isupper()))
 
 
-def _numbers(text: str) -> Iterator[Candidate]:
+def _number_spans(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, where its context begins at the earliest) of every number.
+
+    What has more digits than any number is several side by side: in the whole run of digits and blanks, the parts
+    of twelve digits and those that make a phone are numbers, and what is left between them is one if it is short.
+    """
+    done = 0
     for m in NUMBER.finditer(text):
-        s, e = m.span()
+        if m.start() < done:
+            continue
+        if sum(c.isdigit() for c in m.group()) <= 12:
+            yield *m.span(), 0
+            continue
+        run = RUN.match(text, m.start())
+        done = run.end()
+        parts = [p.span() for p in PART.finditer(text, *run.span())]
+        if text[done : done + 1] == "/" or text[done : done + 1].isalnum():
+            parts.pop()
+        low, k, rest = 0, 0, []
+        numbers: list[tuple[int, int]] = []
+
+        def flush(rest=rest, numbers=numbers) -> None:
+            joined = rest and sum(c.isdigit() for c in text[rest[0][0] : rest[-1][1]]) <= 12
+            numbers.extend([(rest[0][0], rest[-1][1])] if joined else rest)
+            rest.clear()
+
+        while k < len(parts):
+            fits = [j for j in range(k, min(k + 6, len(parts))) if PHONE_SHAPE.fullmatch(text, parts[k][0], parts[j][1])]
+            if fits or sum(c.isdigit() for c in text[slice(*parts[k])]) == 12:
+                flush()
+                j = max(fits, default=k)
+                numbers.append((parts[k][0], parts[j][1]))
+                k = j + 1
+            else:
+                rest.append(parts[k])
+                k += 1
+        flush()
+        for s, e in numbers:
+            yield s, e, low
+            low = e
+
+
+def _numbers(text: str) -> Iterator[Candidate]:
+    for s, e, low in _number_spans(text):
         begin, stop = _line(text, s)
-        number = m.group()
+        number = text[s:e]
         digits = "".join(c for c in number if c.isdigit())
         n = len(digits)
         if n < 7 or n > 12:
             continue
         lettered = not digits.startswith(number[:1]) and number[:1].isalpha() or number[:1] == "№"
-        near = text[max(begin, s - 48) : s]
-        call, identity, other = bool(CALL.search(near)), bool(IDENTITY.search(near)), bool(OTHER_NUMBER.search(text, max(begin, s - 32), e))
+        near = text[max(begin, low, s - 48) : s]
+        call, identity, other = bool(CALL.search(near)), bool(IDENTITY.search(near)), bool(OTHER_NUMBER.search(text, max(begin, low, s - 32), e))
         house = "(дом" in text[e : e + 6]
         if not lettered and n in (7, 10, 11):
             yield s, e, "phone", (

@@ -77,3 +77,14 @@ def test_overlapping_spans_leave_nothing_readable(spark):
 def test_the_court_behind_an_address_is_no_address():
     found = [c for c in P.candidates("Resides in Akdolsk, 48 Abai Street, and told the court so; before, 5 abbey close") if c[2] == "address"]
     assert [c[3][1] for c in found] == [1, -1, 1]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("ИИН 741104706117 12.05.2024 выдан", {"741104706117"}), ("ИИН 741104706117 8 792 911 45 67, ответил", {"741104706117", "8 792 911 45 67"}), ("ИИН 741104706117 +7 (798) 124-87-43.", {"741104706117", "+7 (798) 124-87-43"}),
+        ("тел. +7 795 734 11 45 8 792 911 45 67 741104706117", {"+7 795 734 11 45", "8 792 911 45 67", "741104706117"}), ("счёт 4400 4301 2345 6789", set()), ("тел. 87985307597", {"87985307597"}),
+    ],
+)
+def test_numbers_side_by_side(text, want):
+    assert {text[c[0] : c[1]] for c in P.candidates(text) if c[2] in ("phone", "id_number")} == want

@@ -44,6 +44,9 @@ PATRONYMIC = regex.compile(r"^(.{3,}?)(?:ович|евич|овна|евна|ұ
 WORDS = regex.compile(r"\p{L}+")
 PARTS = regex.compile(r"\p{Lu}?[^\P{L}\p{Lu}]+|\p{Lu}+(?!\p{Ll})")
 NAME_GAP = regex.compile(r"[ \t ]*(?:[.,] ?[ \t ]*)?")
+QUOTES = tuple("«»\"“”„")
+FORM_BEFORE = regex.compile(rf"(?i)(?<!\p{{L}})(?:{'|'.join(LEGAL_FORMS)})[ \t]*$")
+FORM_AFTER = regex.compile(rf"(?i)[ \t]*,?[ \t]*(?:{'|'.join(LEGAL_FORMS)})(?!\p{{L}})")
 FIRM_GAP = regex.compile(r"[ \t\-]{1,3}")
 
 
@@ -82,24 +85,27 @@ def slips(a: str, b: str) -> int:
 class Slips:
     """Words found again by equality of deletion keys, so that slips of typing need no comparison of all pairs."""
 
-    def __init__(self, words: Iterable[str], most: int, least_length: int) -> None:
-        self.most, self.least = most, least_length
+    def __init__(self, words: Iterable[str], most: int, least_length: int, short: int | None = None) -> None:
+        self.most, self.least, self.short = most, least_length, short
         self.words = set(words)
         self.keys: dict[str, set[str]] = defaultdict(set)
         for w in self.words:
-            if len(w) >= least_length:
-                for k in deletions(w, most):
-                    self.keys[k].add(w)
+            for k in deletions(w, self.allowed(w)) if self.allowed(w) else ():
+                self.keys[k].add(w)
+
+    def allowed(self, word: str) -> int:
+        """Slips allowed in a listed word: ``most`` from ``least_length`` letters on, one from ``short`` letters on."""
+        return self.most if len(word) >= self.least else int(self.short is not None and len(word) >= self.short)
 
     def find(self, word: str) -> tuple[str, int] | None:
         """The nearest word within the allowed slips; none where two are equally near."""
         if word in self.words:
             return word, 0
-        if len(word) < self.least - 1:
+        if len(word) < (self.least if self.short is None else self.short) - 1:
             return None
         near = {w for k in deletions(word, self.most) for w in self.keys.get(k, ())}
         ranked = sorted((slips(word, w), w) for w in near)
-        ranked = [r for r in ranked if r[0] <= self.most]
+        ranked = [r for r in ranked if r[0] <= self.allowed(r[1])]
         if not ranked or len(ranked) > 1 and ranked[0][0] == ranked[1][0]:
             return None
         return ranked[0][1], ranked[0][0]
@@ -148,7 +154,7 @@ class Registry:
         self.forms = {k: min(v) for k, v in shared.items() if len(v) == 1}
         self.longest = max((len(k) - 1 for k in self.forms if k[0] == "firm"), default=0)
         self.initials = {k[1] for k in self.forms if k[0] == "initials"}
-        self.surname_slips = Slips(surnames, 2, 7)
+        self.surname_slips = Slips(surnames, 2, 7, 3)
         self.given_slips, self.root_slips = Slips(set(self.given), 1, 5), Slips(self.roots, 1, 5)
         self.firm_slips = Slips(firm_words, 1, 4)
         self.firm_latin = {latin(w): fold(w) for i, kind, name in rows if kind != "person" for w in WORDS.findall(name) if w.lower() not in LEGAL_FORMS}
@@ -170,7 +176,7 @@ class Registry:
         """Whether a word can be part of a registered name; kept for each distinct word."""
         if len(self.seen) > 1_000_000:
             self.seen.clear()
-        if len(word) < 2 or word.islower():
+        if word.islower() or len(word) < 2 and word.lower() not in self.latin_surnames and fold(word) not in self.surname_slips.words:
             hit = False
         else:
             hit = self.surname(word.lower()) is not None or any(self.firm_word(p) for p in PARTS.findall(word)) or word.isupper() and fold(word) in self.initials
@@ -195,13 +201,14 @@ class Registry:
     def _persons(self, line: str) -> Iterator[tuple[int, int, int]]:
         words = [(m.start(), m.end(), m.group()) for m in WORDS.finditer(line)]
         for k, (start, end, word) in enumerate(words):
-            if word.islower() or len(word) < 5 or not (hit := self.surname(word.lower())):
+            if word.islower() or not (hit := self.surname(word.lower())):
                 continue
             s, missed = hit
+            full = len(word) < 2 or len(s) < 5 and missed  # what so short a surname needs beside it is a full given name
             after = self._parts(line, words, k, 1)
             before = self._parts(line, words, k, -1)
             for parts in sorted((x for x in (after, before) if x), key=len, reverse=True):
-                entity = self._person(s, missed, parts)
+                entity = None if full and len(parts[0][2]) < 2 else self._person(s, missed, parts)
                 if entity is not None:
                     yield entity, min(start, parts[0][0], parts[-1][0]), max(end, parts[0][1], parts[-1][1])
                     break
@@ -266,9 +273,9 @@ class Registry:
                 n = 1
                 while k + n < len(words) and canon[k + n] and (words[k + n - 1][1] == words[k + n][0] or FIRM_GAP.fullmatch(line, words[k + n - 1][1], words[k + n][0])):
                     n += 1
-                for size in range(min(n, self.longest), 1, -1):
+                for size in range(min(n, self.longest), 0, -1):
                     entity = self.forms.get(("firm", *sorted(canon[k : k + size])))
-                    if entity is not None and self._alone(line, words, k, k + size):
+                    if entity is not None and self._alone(line, words, k, k + size) and (size > 1 or self._marked(line, words, k)):
                         start, end = self._whole(line, words[k][0], words[k + size - 1][1])
                         yield entity, start, end
                         break
@@ -286,6 +293,16 @@ class Registry:
                 return i < k and not _inside_quotes(line, a)
         return True
 
+    def _marked(self, line: str, words: list, k: int) -> bool:
+        """Whether one word stands in quotes of its own or directly beside a legal form."""
+        start, end = words[k][:2]
+        if line[start - 1 : start] in QUOTES and line[end : end + 1] in QUOTES and start:
+            return True
+        after = words[k + 1] if k + 1 < len(words) else None
+        if after and after[2][0].isupper() and after[2].lower() not in LEGAL_FORMS and regex.fullmatch(r"[ \-]*", line[end : after[0]]):
+            return False  # the first word of a longer name
+        return bool(FORM_BEFORE.search(line[max(0, start - 80) : start]) or FORM_AFTER.match(line, end))
+
     def _whole(self, line: str, start: int, end: int) -> tuple[int, int]:
         """A name's span with the quotes around it and the legal form before or after."""
         a, b = start, end

@@ -40,3 +40,17 @@ def test_slips_against_brute_force():
         near = sorted((N.slips(typed, w), w) for w in words)
         want = near[0][1] if near[0][0] <= 2 and near[0][0] < near[1][0] else None
         assert (s.find(typed) or (None,))[0] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "entities"),
+    [
+        ("явился Мария Ким, вопросов", {1}), ("дал Ким М.А., расчёт", {1}), ("явилась Маша Ким", {1}), ("Кин Мария", {1}), ("Кин М.А.", set()), ("явилась Ким Мария Алексеевна", set()), ("Ким", set()),
+        ("дал Орлов П.И.", {2}), ("дал Орллов П.И.", {2}), ("дал Оролв Павел", {2}), ("дал Оллово П.И.", set()), ("явился Павел Ю", {4}), ("явился П. Ю", set()), ("Ю П.", set()),
+        ("газета «Степномаш» вышла", {3}), ("Степномаш ТОО", {3}), ("ТОО Степномаш обязано", {3}), ("ТОО «Степномаш» и", set()), ("ТОО «Степномаш Жол»", set()), ("ТОО Степномаш Жол", set()), ("Директор Степномаш Жол", set()),
+        ("завод Степномаш стоит", set()), ("Степномаш аорта", set()), ("Stepnomash LLP", {3}),
+    ],
+)
+def test_short_names(text, entities):
+    rows = [(1, "person", "Ким Мария Алексеевна"), (2, "person", "Орлов Павел Иванович"), (3, "organisation", "ТОО «Степномаш»"), (4, "person", "Ю Павел Олегович")]
+    assert N.Registry(rows).mentions(text) == entities

@@ -12,7 +12,7 @@ registry of more than ``block`` entities is worked off in blocks against all tex
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -116,20 +116,42 @@ def root(patronymic: str) -> str:
     return fold(m.group(1)).rstrip("ь") if m else fold(patronymic)
 
 
-class Registry:
-    """All rewritings of the registered names, and the mentions of a text by them."""
+def rewritings(kind: str, name: str) -> set[tuple]:
+    """All canonical rewritings of a registered name."""
+    words = WORDS.findall(name)
+    out: set[tuple] = set()
+    if kind == "person" and len(words) >= 2:
+        s, g, p = fold(words[0]), fold(words[1]), root(words[2]) if len(words) > 2 else ""
+        out = {("person", s, a, b) for a in (g, g[0]) for b in (p, p[:1], "")}
+        out |= {("person", s, latin(words[1])[0], b) for b in (latin(words[2])[0] if p else "", "")}
+    elif kind != "person":
+        folded = [fold(w) for w in words if w.lower() not in LEGAL_FORMS]
+        out = {("firm", *sorted(folded))}
+        if len(folded) > 1:
+            out.add(("initials", "".join(w[0] for w in folded)))
+    return out
 
-    def __init__(self, rows: list[tuple[int, str, str]]) -> None:
-        self.names = {i: name for i, _, name in rows}
-        shared: dict[tuple, set[int]] = defaultdict(set)
-        surnames, self.given, self.roots, firm_words = set(), {}, set(), set()
+
+def sharing(rows: Iterable[tuple[int, str, str]]) -> dict[tuple, int]:
+    """How many entities have each rewriting."""
+    return Counter(form for _, form in {(i, form) for i, kind, name in rows for form in rewritings(kind, name)})
+
+
+class Vocabulary:
+    """The distinct words of registered names; which word is nearest to a typed one depends on all of them."""
+
+    def __init__(self, rows: Iterable[tuple[int, str, str]]) -> None:
+        self.surnames: set[str] = set()
+        self.roots: set[str] = set()
+        self.given: dict[str, str] = {}
         self.latin_surnames: dict[str, str] = {}
         self.latin_roots: dict[str, str] = {}
-        for i, kind, name in rows:
+        self.firm_latin: dict[str, str] = {}
+        for _, kind, name in rows:
             words = WORDS.findall(name)
             if kind == "person" and len(words) >= 2:
                 s, g, p = fold(words[0]), fold(words[1]), root(words[2]) if len(words) > 2 else ""
-                surnames.add(s)
+                self.surnames.add(s)
                 self.latin_surnames[latin(words[0])] = s
                 self.given[g] = self.given[latin(words[1])] = g
                 for nick in NICKNAMES.get(words[1].lower(), "").split():
@@ -137,27 +159,30 @@ class Registry:
                 if p:
                     self.roots.add(p)
                     self.latin_roots[latin(words[2])] = p
-                for a in (g, g[0]):
-                    for b in {p, p[:1], ""}:
-                        shared["person", s, a, b].add(i)
-                latin_given = latin(words[1])[0]
-                for b in {latin(words[2])[0] if p else "", ""}:
-                    shared["person", s, latin_given, b].add(i)
             elif kind != "person":
-                core = [w for w in words if w.lower() not in LEGAL_FORMS]
-                folded = [fold(w) for w in core]
-                firm_words.update(folded)
-                shared["firm", *sorted(folded)].add(i)
-                if len(core) > 1:
-                    shared["initials", "".join(w[0] for w in folded)].add(i)
-        self.rarity = {k: 1 / len(v) for k, v in shared.items()}
-        self.forms = {k: min(v) for k, v in shared.items() if len(v) == 1}
+                self.firm_latin |= {latin(w): fold(w) for w in words if w.lower() not in LEGAL_FORMS}
+        self.firm_words = {fold(w) for _, kind, name in rows if kind != "person" for w in WORDS.findall(name) if w.lower() not in LEGAL_FORMS}
+
+
+class Registry:
+    """All rewritings of the registered names, and the mentions of a text by them.
+
+    ``rows`` may be a block of a registry; then ``owners`` (:func:`sharing`, of the block's rewritings at least) and
+    ``words`` are those of the whole.
+    """
+
+    def __init__(self, rows: list[tuple[int, str, str]], owners: dict[tuple, int] | None = None, words: Vocabulary | None = None) -> None:
+        owners, words = sharing(rows) if owners is None else owners, words or Vocabulary(rows)
+        self.names = {i: name for i, _, name in rows}
+        forms = {form: i for i, kind, name in rows for form in rewritings(kind, name)}
+        self.rarity = {k: 1 / owners[k] for k in forms}
+        self.forms = {k: i for k, i in forms.items() if self.rarity[k] == 1}
         self.longest = max((len(k) - 1 for k in self.forms if k[0] == "firm"), default=0)
         self.initials = {k[1] for k in self.forms if k[0] == "initials"}
-        self.surname_slips = Slips(surnames, 2, 7, 3)
-        self.given_slips, self.root_slips = Slips(set(self.given), 1, 5), Slips(self.roots, 1, 5)
-        self.firm_slips = Slips(firm_words, 1, 4)
-        self.firm_latin = {latin(w): fold(w) for i, kind, name in rows if kind != "person" for w in WORDS.findall(name) if w.lower() not in LEGAL_FORMS}
+        self.given, self.latin_surnames, self.latin_roots, self.firm_latin = words.given, words.latin_surnames, words.latin_roots, words.firm_latin
+        self.surname_slips = Slips(words.surnames, 2, 7, 3)
+        self.given_slips, self.root_slips = Slips(set(self.given), 1, 5), Slips(words.roots, 1, 5)
+        self.firm_slips = Slips(words.firm_words, 1, 4)
         self.seen: dict[str, bool] = {}
 
     def surname(self, word: str) -> tuple[str, int] | None:
@@ -334,17 +359,21 @@ def link(texts: DataFrame, registry: DataFrame, keys: list[str], column: str = "
     """The distinct (keys, entity_id) of registered entities named in another spelling.
 
     The registry is a stated query set against all rows: read in blocks of at most ``block`` entities, each sent
-    to the executors once; texts are neither shuffled nor compared with each other.
+    to the executors once; texts are neither shuffled nor compared with each other. Rewritings are counted, and
+    the nearest words found, over the whole registry, so that the size of a block changes no row.
     """
     spark = texts.sparkSession
     rows = sorted({(r.entity_id, r.kind, r.name) for r in registry.select("entity_id", "kind", "name").where("name is not null and entity_id is not null").toLocalIterator()})
     schema = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys) + f", entity_id {registry.schema['entity_id'].dataType.simpleString()}"
     found = None
+    owners = sharing(rows)
+    words = spark.sparkContext.broadcast(Vocabulary(rows))
     for at in range(0, max(1, len(rows)), block):
-        sent = spark.sparkContext.broadcast(rows[at : at + block])
+        part = rows[at : at + block]
+        sent = spark.sparkContext.broadcast((part, {k: owners[k] for _, kind, name in part for k in rewritings(kind, name)}))
 
         def kernel(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Registry(sent.value)
+            known = Registry(*sent.value, words.value)
             for b in batches:
                 at_rows: list[int] = []
                 entities: list[int] = []

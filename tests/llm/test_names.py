@@ -54,3 +54,12 @@ def test_slips_against_brute_force():
 def test_short_names(text, entities):
     rows = [(1, "person", "Ким Мария Алексеевна"), (2, "person", "Орлов Павел Иванович"), (3, "organisation", "ТОО «Степномаш»"), (4, "person", "Ю Павел Олегович")]
     assert N.Registry(rows).mentions(text) == entities
+
+
+def test_blocks_change_nothing(spark):
+    rows = [*ROWS, (6, "person", "Техебкев Данияр Нурланович"), (8, "person", "Техебкеф Тимур Олегович"), (9, "organisation", "АО «Тұлпарлы Фарм Плюс»"), (10, "organisation", "ТОО «Фарм Тұлпарлы»")]
+    texts = spark.createDataFrame(list(enumerate(["Техебкев Д.Н.", "Техебкев Данияр", "Техебкеф Дмитрий", "Техебкеф Т.О.", "ТОО «СТА»", "«Тұлпарлы Фарм» АО", "«Тұлпарлы Фарм Плюс» ТОО"])), "row_id bigint, text string")
+    registry = spark.createDataFrame(rows, "entity_id bigint, kind string, name string")
+    whole = {tuple(r) for r in N.link(texts, registry, ["row_id"]).collect()}
+    assert whole == {(1, 6), (3, 8), (4, 3), (6, 9)}
+    assert {tuple(r) for r in N.link(texts, registry, ["row_id"], block=1).collect()} == whole

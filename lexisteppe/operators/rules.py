@@ -222,22 +222,38 @@ def _holds(*words: str) -> Callable[[], Column]:
     return lambda: F.col("text").rlike(pattern)
 
 
-def soglasno_rule(morphology: dict[str, tuple[bool, str]] | None = None) -> Rule:
-    """Genitive after «согласно»: ``morphology`` maps a form to (genitive noun or adjective without a dative parse, its dative)."""
+def soglasno_forms(paragraphs: DataFrame, morphology: DataFrame | None) -> dict[str, tuple[bool, str | None]]:
+    """What :func:`soglasno_rule` needs for the words that follow «согласно» in these paragraphs (text, lang).
+
+    ``morphology`` (form in lower case, genitive, dative): ``genitive`` says that the form is a genitive noun, adjective
+    or participle without a dative parse. A table without these columns gives nothing; of repeated forms all must say so.
+    """
+    if morphology is None or not {"genitive", "dative"} <= set(morphology.columns):
+        return {}
+    held = paragraphs.where((F.col("lang") == "ru") & _holds("согласно")())
+    words = F.transform(F.filter(tokens(F.col("text")), lambda t: t["kind"] == "word"), lambda t: F.lower(t["text"]))
+    pairs = F.transform("_w", lambda w, i: F.when(w == "согласно", F.get("_w", i + 1)))
+    following = held.select(words.alias("_w")).select(F.explode(pairs).alias("form")).where("form is not null").distinct()
+    known = morphology.groupBy("form").agg(F.min(F.coalesce("genitive", F.lit(False))).alias("genitive"), F.min("dative").alias("dative"))
+    return {r.form: (True, r.dative) for r in known.where("genitive").join(following, "form").orderBy("form").collect()}
+
+
+def soglasno_rule(morphology: dict[str, tuple[bool, str | None]] | None = None) -> Rule:
+    """Genitive after «согласно»: ``morphology`` maps a form to (genitive noun or adjective without a dative parse, its dative if it has one)."""
 
     def spans() -> Column:
         if not morphology:
             return F.array().cast("array<struct<start:int,end:int,suggestions:array<string>,message:string>>")
-        table = F.create_map(*[x for form, (wrong, dative) in morphology.items() if wrong for x in (F.lit(form), F.lit(dative))])
+        table = F.create_map(*[x for form, (wrong, dative) in morphology.items() if wrong for x in (F.lit(form), F.array(*[F.lit(dative)] * (dative is not None)).cast(SUGGESTIONS))])
         words = _words()
         numbered = F.transform(words, lambda t, i: F.struct(t.alias("t"), F.get(words, i + 1).alias("next")))
         found = F.filter(numbered, lambda x: (F.lower(x["t"]["text"]) == "согласно") & F.element_at(table, F.lower(x["next"]["text"])).isNotNull())
-        return F.transform(found, lambda x: _span(x["next"]["start"], x["next"]["end"], F.array(F.element_at(table, F.lower(x["next"]["text"]))), F.lit("The dative is wanted after «согласно»")))
+        return F.transform(found, lambda x: _span(x["next"]["start"], x["next"]["end"], F.element_at(table, F.lower(x["next"]["text"])), F.lit("The dative is wanted after «согласно»")))
 
     return Rule("legal.soglasno", "ru", "grammar", "error", "The dative is wanted after «согласно»", spans, may=_holds("согласно"))
 
 
-def default_rules(sentence_words: int = 60, morphology: dict[str, tuple[bool, str]] | None = None, user_rules: tuple[Rule, ...] = ()) -> list[Rule]:
+def default_rules(sentence_words: int = 60, morphology: dict[str, tuple[bool, str | None]] | None = None, user_rules: tuple[Rule, ...] = ()) -> list[Rule]:
     """The paragraph rules in their order, the user's last. Order counts where issues overlap."""
     hyphen = lambda id, message, pattern, condition=None: pattern_rule(id, "kk", "typography", "error", message, pattern, r"\1-\2", 2, condition)
     return [

@@ -11,14 +11,17 @@ from ..functions.lang import with_languages
 from ..operators.external import Checker, external_issues, refined_spelling
 from ..operators.issues import Settings, fragment, in_order, wanted, without_accepted, without_overlaps
 from ..operators.names import official_issues, variant_issues
-from ..operators.rules import Rule, default_rules, rule_issues
+from ..operators.rules import Rule, default_rules, rule_issues, soglasno_forms
 from ..operators.spell import Words, spelling_issues, word_tokens
 from ..runtime import checkpointed, spread
 
 
 @dataclass
 class Resources:
-    """What a check reads besides the documents. Everything is optional."""
+    """What a check reads besides the documents. Everything is optional.
+
+    ``morphology`` is (form, lemma, is_name), and with (genitive, dative) it serves ``legal.soglasno``.
+    """
 
     ru: Words | None = None
     kk: Words | None = None
@@ -40,7 +43,8 @@ def check(paragraphs: DataFrame, resources: Resources | None = None, settings: S
     known = resources.ru.forms if resources.ru else None
     texts = checkpointed(with_languages(spread(paragraphs.select("doc_id", "para", "text"), "doc_id"), "doc_id", settings.language, known))
     off = tuple(settings.disabled_rules)
-    parts = [rule_issues(texts, default_rules(settings.sentence_words_limit, None, tuple(resources.user_rules)), disabled=off)]
+    dative = {} if "legal.soglasno" in off else soglasno_forms(texts, resources.morphology)
+    parts = [rule_issues(texts, default_rules(settings.sentence_words_limit, dative, tuple(resources.user_rules)), disabled=off)]
     if "names.variants" not in off:
         parts.append(variant_issues(texts, morphology=resources.morphology))
     if (resources.official_ru or resources.official_kk) and "names.official" not in off:

@@ -223,3 +223,12 @@ def test_pipeline(spark):
     assert check(df.limit(0)).count() == 0
     user = Resources(user_rules=[rules.pattern_rule("user.1", "any", "style", "hint", "m", r"\bБанк\b", None, ignore_case=True, engine="user")])
     assert "user.1" in {r.rule_id for r in check(df, user).collect()}
+
+
+def test_pipeline_soglasno(spark):
+    schema = "form string, lemma string, is_name boolean, genitive boolean, dative string"
+    table = spark.createDataFrame([("договора", "договор", False, True, "договору"), ("договору", "договор", False, False, None), ("пальто", "пальто", False, True, None), ("акта", "акт", False, True, "акту"), ("акта", "акт", False, False, None)], schema)
+    texts = spark.createDataFrame([(1, 0, "Согласно договора стороны платят."), (2, 0, "Согласно договору стороны платят."), (3, 0, "Платят согласно 2 пальто и согласно акта.")], "doc_id int, para int, text string")
+    found = lambda m: [(r.doc_id, r.start_pos, r.suggestions) for r in check(texts, Resources(morphology=m)).where("rule_id = 'legal.soglasno'").orderBy("doc_id").collect()]
+    assert found(table) == [(1, 9, ["договору"]), (3, 18, [])]
+    assert found(table.drop("genitive", "dative")) == [] and found(None) == []

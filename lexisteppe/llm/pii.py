@@ -6,6 +6,10 @@ collection; expectation-maximisation over these counts estimates every labeler's
 train the final classifier of spans, a logistic one over votes and features. Both need only the table of patterns,
 whose size is bounded by the labelers, never by the data.
 
+A span is the whole of what it names and nothing else: an address is the chain of its parts around a street word
+(place, street, house, flat), an e-mail its whole local part and domain, a name its words and initials. No span
+begins or ends inside a word or takes a line's end.
+
 Defined results: null and empty texts hold nothing; rows are taken as given (``doc_id`` is unique); of overlapping
 spans all count, and in a redacted text the placeholder of the earliest and longest stands for all that they cover;
 texts keep everything else unchanged.
@@ -50,15 +54,32 @@ FIRM = re.compile(r"(?:тоо|жшс|ао|ооо|ип|компани\w+|фирм
 FIRM_AFTER = re.compile(r"^[ »]*(?:торг|и ко|және|ұлдары|и сыновья|& |and sons|трейд|холдинг|групп|зауыт\w*|завод\w*|\w*»|llp|jsc)", re.I)
 STREET_BEFORE = re.compile(r"(?:ул|улица|улице|улицы|пр-т|проспект\w*|мкр|микрорайон\w*|пер|переулок|бульвар|площадь|пл|имени|им|атындағы)\.?[ ]*$", re.I)
 STREET_AFTER = re.compile(r"^ ?(?:көш\w*|к-сі|даңғыл\w*|street|road|lane|drive|avenue|ауданы)", re.I)
-STREET = re.compile(r"(?:\bул\.|\bулиц[аеыу]\b|\bпр-т\b|\bпросп(?:\.|ект)|\bмкр\b|\bмикрорайон|\bпереул\w+|\bпер\.|\bбульвар\w*|\bкөшесі|\bк-сі|\bдаңғыл\w*|\bықшам ?аудан\w*|\b(?:Street|Road|Lane|Drive|Avenue|Square|Court|Close)\b)", re.I)
+STREET = re.compile(
+    r"(?:(?P<prefix>\bул\.|\bулиц[аеыу]\b|\bпр-т\b|\bпросп(?:\.|ект\w*)|\bмкр\b\.?|\bмикрорайон\w*|\bпереул\w+|\bпер\.|\bбульвар\w*)|\bкөшесі\w*|\bк-сі\w*|\bдаңғыл\w*|\bықшам ?аудан\w*|"
+    r"\b(?:Street|Road|Lane|Drive|Avenue|Square|Court|Close)\b)", re.I,
+)
 COMMON = frozenset(("court", "close", "square"))
 NUMBERED = re.compile(r"\d[\w/-]*(?: [\w'’.-]+){1,3} $")
-HOUSE = re.compile(r"(?:\bд(?:ом|\.)\s?\d|\bкв(?:артира|\.)?\s?\d|\d+\s?-?үй|\d+\s?-?пәтер|\b[Ff]lat \d|[ ,]\d{1,4}(?:[/-]\d{1,4})?\b)")
-PLACE = re.compile(r"(?:\bг\.|\bгород\b|\bқ\.|\bқаласы\b|\bпос\.|\bс\.\s|\bауылы\b|\p{Lu}\p{Ll}+(?:ск|град|горск|дар|төбе|кент|burgh|sk)\b)".replace(r"\p{Lu}", "[А-ЯЁA-ZӘҒҚҢӨҰҮІ]").replace(r"\p{Ll}", "[а-яёa-zәғқңөұүһі]"))
-LIVES = re.compile(r"(?:прожива|адресу|повестка|жительств|мекенжай|шақыру қағазы|тұратын|зарегистрирован по|lives at|served at|resides|address)", re.I)
+_WORD = r"\p{Lu}[\p{L}'’]*(?:-\p{L}+)*"
+_NUMBER = r"\d+(?:[/-]\d+)*(?:-?\p{L})?(?![\p{L}\d])"
+_UNIT = r"(?:д|дом|корп|корпус|стр|строение|кв|квартира|оф|офис|пом|помещение|под|подъезд|flat|apt|apartment|house|unit)"
+_PART = rf"(?:(?i:{_UNIT})\.? ?(?:№ ?)?{_NUMBER}|\d+(?:/\d+)?\p{{L}}? ?-? ?(?:үй|пәтер|корпус|кеңсе)\p{{L}}*)"
+_PLACE = (
+    rf"(?:\b(?:г|гор|город|пос|посёлок|поселок|с|село|аул|ауыл|қ|обл|р-н)\.? ?{_WORD}(?: {_WORD})*|{_WORD}(?: {_WORD})* (?:қ|қала\p{{L}}*|ауыл\p{{L}}*|облыс\p{{L}}*|аудан\p{{L}}*|обл|область|район|р-н)\.?|\b\d{{6}}\b)"
+)
+STREET_NAME = regex.compile(rf" ?(?:им(?:ени|\.) ?)?(?:\d+(?:-?\p{{Ll}}{{1,3}})? )?(?:{_WORD}(?: {_WORD})*|«[^»\n]*»)")
+NAME_BEFORE = regex.compile(rf"(?r)(?<![\p{{L}}\d])(?:{_WORD} )+")
+HOUSE_PARTS = regex.compile(rf"(?:,? ?{_PART}|,? {_NUMBER})(?:,? ?{_PART})*|(?:,? ?{_PART})+")
+FLAT_AFTER = regex.compile(rf"(?:, ?{_PART})+")
+FLAT_BEFORE = regex.compile(rf"(?r)(?<![\p{{L}}\d])(?:{_PART},? ?)*{_NUMBER},? ")
+PLACES_BEFORE = regex.compile(rf"(?r)(?<![\p{{L}}\d])(?:{_PLACE} ?, ?)+")
+PLACES_AFTER = regex.compile(rf"(?: ?, ?{_PLACE})+")
+BARE_BEFORE = regex.compile(r"(?r)(?<![\p{L}\d.-])(\p{Lu}\p{Ll}{2,}(?:-\p{L}+)*) ?, ?")
+BARE_AFTER = regex.compile(r", (\p{Lu}\p{Ll}{2,}(?:-\p{L}+)*)(?!\.?\p{L}| \p{Lu})")
+LIVES = re.compile(r"(?:прожива|адресу|повестка|жительств|мекенжай|шақыру қағазы|тұратын|зарегистрирован по|lives at|served at|resides|address)\w*", re.I)
 AT = re.compile(r"@|＠|[(\[](?:at|собака|dog|ат|эт)[)\]]", re.I)
-LOCAL = re.compile(r"[\w.+\-]+ ?$")
-DOMAIN = re.compile(r"^ ?[\w\-]+(?: ?(?:\.|\((?:dot|точка)\)) ?[\w\-]+)+")
+LOCAL = regex.compile(r"(?r)[\w.+\-]+ ?")
+DOMAIN = re.compile(r" ?[\w\-]+(?: ?(?:\.|\((?:dot|точка)\)) ?[\w\-]+)+")
 MAIL = re.compile(r"(?:mailto:|почт|пошта|mail|писать|присыла|направить|жіберу|мекенжай|replies|copy sent|адрес|write)", re.I)
 NUMBER = re.compile(r"(?<![\w.,/])(?:\+|\()?\d[\d ().\-]{5,20}\d(?![\w/])|(?:(?<=ИИН)|(?<=иин)|(?<=ЖСН)|(?<=жсн)|(?<=IIN))\d{12}\b|\b[A-ZА-Я]{1,2} ?(?:№ ?)?\d{7,9}\b|№ ?\d{8,9}\b")
 RUN = re.compile(r"[\d ().+\-]*\d")
@@ -68,6 +89,7 @@ IDENTITY = re.compile(r"(?:иин|жсн|\biin|удостоверени|пасп
 OTHER_NUMBER = re.compile(r"(?:бин\b|бсн\b|\bbin\b|сч[её]т|шот\b|account|сумм|сома|amount|парти|batch|кадастр|дело №|іс\b|договор|contract|№ ?\d+-\d+-\d+|kz\d\d|код |доверенност|опись|тізімдеме|сенімхат|mandate|list no)", re.I)
 PHONE_SHAPE = re.compile(r"(?:\+?7|8)[ .\-]?\(?7\d\d\)?[ .\-]?\d{3}[ .\-]?\d\d[ .\-]?\d\d|\d{3}-\d\d-\d\d")
 BIRTH = re.compile(r"\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])")
+STOP_OF_INITIAL = regex.compile(r"\.(?=[,;:)]|[ \t]+[\p{Ll}\d(–—-])")
 CAPITAL = regex.compile(r"(?<![\p{L}\d])\p{Lu}(?:\p{L}+|(?=\.))")
 
 Candidate = tuple[int, int, str, tuple[int, ...], tuple[int, ...]]  # start, end, kind, votes, features
@@ -84,10 +106,10 @@ def _line(text: str, at: int, reach: int = 400) -> tuple[int, int]:
 def _emails(text: str) -> Iterator[Candidate]:
     for m in AT.finditer(text):
         begin, stop = _line(text, m.start())
-        before, after = LOCAL.search(text, max(begin, m.start() - 64), m.start()), DOMAIN.match(text[m.end() : min(stop, m.end() + 64)])
+        before, after = LOCAL.match(text, 0, m.start()), DOMAIN.match(text, m.end())
         whole = bool(before) and bool(after)
         s = before.start() if before else m.start()
-        e = m.end() + (after.end() if after else 0)
+        e = after.end() if after else m.end()
         plain = m.group() in "@＠"
         yield s, e, "email", (
             1 if whole else -1,
@@ -167,30 +189,65 @@ def _numbers(text: str) -> Iterator[Candidate]:
             ), (n, int(lettered))
 
 
-def _addresses(text: str) -> Iterator[Candidate]:
+def _address_span(text: str, m: re.Match, low: int, taken: list[tuple[int, int]]) -> tuple[int, int, int, int, int]:
+    """(start, end, with a street name, parts of a house, with a place) of the address around a street word.
+
+    It grows part by part and stops at ``low`` and at the names of persons (``taken``, their spans in order).
+    """
+    s, e = m.span()
+    named = STREET_NAME.match(text, e) if m.group("prefix") else None
+    if named:
+        e = named.end()
+    elif found := NAME_BEFORE.match(text, low, s):
+        named, s = found, found.start()
+    # The persons nearest to the core on both sides; one that lies over the core is the street's own name.
+    at = bisect_right(taken, (s, e))
+    left = max((b for a, b in taken[max(0, at - 2) : at] if b <= s), default=low)
+    right = min((a for a, b in taken[at : at + 2] if a >= e), default=len(text))
+    house = 0
+    if found := HOUSE_PARTS.match(text, e, right):
+        house, e = house + 1, found.end()
+    if m.group().isascii():
+        if found := FLAT_BEFORE.match(text, left, s):
+            house, s = house + 1, found.start()
+        if found := FLAT_AFTER.match(text, e, right):
+            house, e = house + 1, found.end()
+    place = 0
+    if found := PLACES_BEFORE.match(text, left, s):
+        place, s = 1, found.start()
+    elif (found := BARE_BEFORE.match(text, left, s)) and _word_class(found.group(1)) == "-":
+        place, s = 1, found.start()
+    if found := PLACES_AFTER.match(text, e, right):
+        place, e = 1, found.end()
+    elif m.group().isascii() and house and (found := BARE_AFTER.match(text, e, right)) and _word_class(found.group(1)) == "-":
+        place, e = 1, found.end()
+    return s, e, int(named is not None), house, place
+
+
+def _addresses(text: str, persons: list[Candidate]) -> Iterator[Candidate]:
     """Every street word of a line is a candidate of its own; ``last`` is where the one before it on the line ends."""
     last = 0
+    taken: list[tuple[int, int]] | None = None
     for m in STREET.finditer(text):
-        begin, stop = _line(text, m.start())
-        last = max(begin, last)
+        if m.start() < last:
+            continue  # a part of the address before
+        if taken is None:
+            taken = [c[:2] for c in persons]
+        begin, _ = _line(text, m.start())
+        low = max(begin, last)
         latin_form = m.group().isascii()
-        s, e = max(begin, m.start() - 60), min(stop, m.end() + 60)
-        own = LIVES.search(text, last, m.start())
+        own = LIVES.search(text, low, m.start())
         lives = own or LIVES.search(text, begin, m.start())
-        if own:
-            s = own.end()
-        elif lives:
-            s = max(s, lives.end())
-            if m.group() in COMMON and not NUMBERED.search(text, last, m.start()):  # "the court" behind somebody's address
-                lives = None
-        house = HOUSE.search(text, max(s, last) if latin_form else max(last, m.start() - 12), e)
-        last = m.end()
+        if lives and not own and m.group() in COMMON and not NUMBERED.search(text, low, m.start()):  # "the court" behind somebody's address
+            lives = None
+        s, e, named, house, place = _address_span(text, m, max(last, own.end() if own else 0), taken)
+        last = e
         yield s, e, "address", (
             1 if house else -1,
             1 if lives else -1,
-            1 if PLACE.search(text, s, e) else 0,
+            1 if place else 0,
             -1 if m.group()[0].islower() and latin_form else 0,
-        ), (int(latin_form), 0)
+        ), (int(latin_form), named, min(house, 2))
 
 
 def _word_class(word: str) -> str:
@@ -206,7 +263,8 @@ def _word_class(word: str) -> str:
     return "-"
 
 
-_GAP = re.compile(r"(?:\.? ?|, ?|  ?|\.)")
+_GAP = re.compile(r"(?:\.? ?|, ?|  ?|\.|-)")
+FULL = re.compile("GPS|SGP|IIS|SII|GS|SG|IS|SI|GP")
 
 
 def _persons(text: str, classes: dict[str, str]) -> Iterator[Candidate]:
@@ -224,14 +282,30 @@ def _persons(text: str, classes: dict[str, str]) -> Iterator[Candidate]:
     for s, e, c in words:
         if run and (c != "-" or any(x[2] in "GI" for x in run)) and s - run[-1][1] <= 3 and _GAP.fullmatch(text, run[-1][1], s) and "\n" not in text[run[-1][1] : s]:
             gap = text[run[-1][1] : s]
-            if not (("." in gap) != (run[-1][2] == "I") and ("." in gap or run[-1][2] == "I")) and not (c == "-" and "," in gap) and len(run) < 4:
+            if not (("." in gap) != (run[-1][2] == "I") and ("." in gap or run[-1][2] == "I")) and not (c == "-" and "," in gap):
                 run.append((s, e, c))
                 continue
         if run:
-            yield from _person(text, run)
+            for part in _single(run):
+                yield from _person(text, part)
         run = [(s, e, c)] if c != "-" or e - s > 4 else []
 
 
+def _single(run: list[tuple[int, int, str]]) -> Iterator[list[tuple[int, int, str]]]:
+    """A run of name words as one person each, where it holds several whole names."""
+    whole = [m.span() for m in FULL.finditer("".join(c for _, _, c in run))] if len(run) > 3 else []
+    if len(whole) < 2:
+        yield run
+        return
+    at = 0
+    for s, e in [*whole, (len(run), len(run))]:
+        if at < s:
+            yield run[at:s]
+        if s < e:
+            yield run[s:e]
+        at = e
+
+
 def _person(text: str, run: list[tuple[int, int, str]]) -> Iterator[Candidate]:
     if any(c == "S" for _, _, c in run):  # an ordinary capitalised word beside the name
         while run[0][2] == "-":
@@ -242,6 +316,8 @@ def _person(text: str, run: list[tuple[int, int, str]]) -> Iterator[Candidate]:
     if not (("G" in shape and len(shape) > 1) or ("S" in shape and ("I" in shape or "P" in shape)) or shape in ("S", "P", "G", "GP", "IP", "-I", "-II", "I-", "II-")):
         return
     s, e = run[0][0], run[-1][1]
+    if shape[-1] == "I" and len(shape) > 1 and STOP_OF_INITIAL.match(text, e):
+        e += 1
     begin, stop = _line(text, s)
     before, after = text[max(begin, s - 40) : s], text[e : min(stop, e + 24)]
     role = bool(ROLES.search(before))
@@ -262,7 +338,8 @@ def _person(text: str, run: list[tuple[int, int, str]]) -> Iterator[Candidate]:
 
 def candidates(text: str, classes: dict[str, str] | None = None) -> list[Candidate]:
     """All candidates of a text with the labelers' votes."""
-    return [*_emails(text), *_numbers(text), *_addresses(text), *_persons(text, {} if classes is None else classes)]
+    persons = list(_persons(text, {} if classes is None else classes))
+    return [*_emails(text), *_numbers(text), *_addresses(text, persons), *persons]
 
 
 def estimate(patterns: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], rounds: int = 40) -> dict[tuple[str, tuple[int, ...], tuple[int, ...]], float]:
@@ -301,48 +378,77 @@ def estimate(patterns: list[tuple[str, tuple[int, ...], tuple[int, ...], int]],
     return result
 
 
-def spans(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, line_no, kind, start_pos, end_pos, probability) of the personal data in every document."""
+SPAN = pa.struct([("line_no", pa.int32()), ("kind", pa.string()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("pattern", pa.string())])
+SPANS = "array<struct<line_no:int,kind:string,start_pos:int,end_pos:int,pattern:string>>"
+
+
+def _found(documents: DataFrame, with_text: bool) -> tuple[DataFrame, dict[str, float]]:
+    """(doc_id, [text], spans) with all candidates of every document that has any, written; and the patterns' chances.
+
+    The texts are read once and never shuffled. The number of patterns is bounded by the labelers' votes and features.
+    """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[str, str] = {}
         for b in batches:
-            rows: list[int] = []
-            out: list[tuple] = []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                if not text:
-                    continue
-                ends = [m.start() for m in re.finditer("\n", text)]
-                for s, e, k, votes, features in candidates(text, classes):
-                    rows.append(i)
-                    out.append((bisect_right(ends, s - 1), k, s, e, f"{k} {votes} {features}"))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int32())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=["doc_id", "line_no", "kind", "start_pos", "end_pos", "pattern"])
-
-    found = checkpointed(arrow_map(documents.select("doc_id", "text"), kernel, f"doc_id {kind}, line_no int, kind string, start_pos int, end_pos int, pattern string"))
+            out: list[list[dict]] = []
+            for text in b.column(1).to_pylist():
+                held: list[dict] = []
+                if text:
+                    ends = [m.start() for m in re.finditer("\n", text)]
+                    for s, e, k, votes, features in candidates(text, classes):
+                        held.append({"line_no": bisect_right(ends, s - 1), "kind": k, "start_pos": s, "end_pos": e, "pattern": f"{k} {votes} {features}"})
+                out.append(held)
+            yield pa.RecordBatch.from_arrays([*b.columns[: 1 + with_text], pa.array(out, pa.list_(SPAN))], names=[*b.schema.names[: 1 + with_text], "spans"])
+
+    found = checkpointed(arrow_map(documents.select("doc_id", "text"), kernel, f"doc_id {kind}, {'text string, ' * with_text}spans {SPANS}"))
     patterns = []
-    for r in found.groupBy("pattern").count().orderBy("pattern").collect():
+    for r in found.select(F.explode("spans.pattern").alias("pattern")).groupBy("pattern").count().orderBy("pattern").collect():
         k, votes, features = re.fullmatch(r"(\w+) (\(.*\)) (\(.*\))", r.pattern).groups()
         patterns.append((k, _tuple(votes), _tuple(features), r["count"]))
-    chances = [(f"{k} {v} {f}", p) for (k, v, f), p in estimate(patterns).items()]
-    table = documents.sparkSession.createDataFrame(chances, "pattern string, probability double")
-    return found.join(F.broadcast(table), "pattern").where(F.col("probability") >= threshold).drop("pattern")
+    return found, {f"{k} {v} {f}": p for (k, v, f), p in estimate(patterns).items()}
+
+
+def spans(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, line_no, kind, start_pos, end_pos, probability) of the personal data in every document."""
+    found, chances = _found(documents, False)
+    table = documents.sparkSession.createDataFrame(list(chances.items()), "pattern string, probability double")
+    each = found.select("doc_id", F.inline("spans"))
+    return each.join(F.broadcast(table), "pattern").where(F.col("probability") >= threshold).drop("pattern")
 
 
 def _tuple(text: str) -> tuple[int, ...]:
     return tuple(int(x) for x in re.findall(r"-?\d+", text))
 
 
-def redacted(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text): every text with typed placeholders in place of its spans; null stays null.
+def replaced(text: str, found: list[tuple[int, int, str]]) -> str:
+    """A text with the placeholders of spans (start, end, kind) in their place, from the left.
+
+    A span that begins inside an earlier one only extends what that covers.
+    """
+    out, at, covered = [], 0, False
+    for s, e, kind in sorted(found, key=lambda x: (x[0], -x[1], x[2])):
+        if covered and s < at:
+            at = max(at, e)
+            continue
+        out += [text[at:s], PLACEHOLDERS[kind]]
+        at, covered = e, True
+    return "".join([*out, text[at:]])
+
+
+def redacted(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, text): every text with typed placeholders in place of its personal data; null stays null.
 
-    A document's spans are folded from the left, so a span that begins inside an earlier one only extends what that covers.
+    Texts and their candidates are written side by side once, so that no text is shuffled.
     """
-    per_doc = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", (-F.col("end_pos")).alias("end_neg"), "kind"))).alias("spans"))
-    joined = documents.select("doc_id", "text").join(per_doc, "doc_id", "left")
-    folded = F.expr("""aggregate(spans, named_struct('out', '', 'at', 0),
-        (a, x) -> if(x.start_pos < a.at, named_struct('out', a.out, 'at', greatest(a.at, -x.end_neg)), named_struct('out', concat(a.out, substring(text, a.at + 1, x.start_pos - a.at), '[', upper(x.kind), ']'), 'at', -x.end_neg)),
-        a -> concat(a.out, substring(text, a.at + 1)))""")
-    return joined.select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(folded).alias("text"))
+    found, chances = _found(documents, True)
+    sure = documents.sparkSession.sparkContext.broadcast({k for k, p in chances.items() if p >= threshold})
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [t and replaced(t, [(x["start_pos"], x["end_pos"], x["kind"]) for x in held if x["pattern"] in sure.value]) for t, held in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    return arrow_map(found, kernel, f"doc_id {kind}, text string")

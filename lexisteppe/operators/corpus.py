@@ -36,10 +36,11 @@ def with_court(documents: DataFrame, acts: DataFrame) -> DataFrame:
 def stratified_sample(documents: DataFrame, quotas: dict[str, int], seed: str, least: int = 4_000, most: int = 30_000) -> DataFrame:
     """(doc_id, lang, place): for each language the first documents in the order of a seeded hash of their id.
 
-    Ranks within a language are cut to a quota, so only the quota survives each task before the exchange.
+    The largest quota is a literal bound of the rank, so every task keeps that many rows of a language at most and
+    only those are exchanged; smaller quotas are cut afterwards. A language without a quota has none.
     """
     fit = documents.where(F.length("text").between(least, most)).select("doc_id", share_language(F.col("text")).alias("lang"), F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string"))).alias("_h"))
-    ranked = fit.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id")))
+    ranked = fit.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("place") <= F.lit(max(quotas.values(), default=0)))
     limit = F.lit(0)
     for lang, n in quotas.items():
         limit = F.when(F.col("lang") == lang, n).otherwise(limit)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,48 +47,80 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, in the folder that the cluster names.
+    """Cut the lineage with a reliable checkpoint, in the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, one machine) an own folder is used.
+    On one machine (a local master) an own folder is used where none is named, and removed at the program's end;
+    on a cluster a missing setting is an error, since a folder of one machine does not survive it.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexisteppe-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lexisteppe-ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def sliced(kernel: Callable, rows: int) -> Callable:
+    """A kernel over record batches of at most so many rows each; batches that Spark sends are cut, not copied."""
+
+    def run(batches: Iterator) -> Iterator:
+        return kernel(b.slice(at, rows) for b in batches for at in range(0, max(b.num_rows, 1), rows))
+
+    return run
+
+
 def arrow_map(df: DataFrame, kernel: Callable, schema: str, rows_per_batch: int = 1000) -> DataFrame:
-    """``mapInArrow`` with small batches, so that a batch of long texts stays within a worker's memory."""
-    spark = df.sparkSession
-    ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
-    return df.mapInArrow(kernel, schema)
+    """``mapInArrow`` with batches of at most so many rows for the kernel, so that what it builds from long texts stays
+    within a worker's memory. No setting of the session is changed."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(sliced(kernel, rows_per_batch), schema)
+
+
+MOST_BYTES = 64 << 20
+
+
+def is_small(df: DataFrame, most_bytes: int = MOST_BYTES) -> bool:
+    """Whether the rows of a written table, measured as text and with an allowance for each, stay below a size.
+
+    Rows are counted first, so that a table of very many rows is not read through.
+    """
+    rows = df.count()
+    if rows * 16 > most_bytes:
+        return False
+    width = F.coalesce(F.octet_length(F.to_json(F.struct("*"))), F.lit(0))
+    return (df.agg(F.sum(width + 32)).first()[0] or 0) <= most_bytes
 
 
-def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most_rows: int = 200_000, salts: int = 16) -> DataFrame:
+def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most_bytes: int = MOST_BYTES, salts: int = 16) -> DataFrame:
     """Join a large side with one that is probably small.
 
-    The right side is written and counted first. Up to ``most_rows`` rows it is broadcast; beyond, the join
+    The right side is written and its bytes are counted first. Up to ``most_bytes`` it is broadcast; beyond, the join
     shuffles with every right row repeated ``salts`` times and the left rows spread over the repeats, so that
     one hot key is not one task. ``how`` is inner, left_semi or left.
     """
     right = checkpointed(right)
-    if right.count() <= most_rows:
+    if is_small(right, most_bytes):
         return left.join(F.broadcast(right), keys, how)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread: Column = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     return left.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, small_bytes: int = 256 << 20) -> DataFrame:
     """Rows over all cores, for work that is heavy for each row.
 
     With keys, rows are partitioned by them into as many parts as shuffles have, which windows and groups over the
-    keys then use and which adaptive planning does not merge for their few bytes. Without keys, only an input of
-    fewer partitions than cores is moved; a large input has partitions enough and is left as it is.
+    keys then use and which adaptive planning does not merge for their few bytes. Without keys, only an input that
+    the planner holds for small, which may lie in fewer splits than there are cores, is moved; a large one is left
+    as it is. The size is the planner's estimate: no job is run for it.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if keys:
         return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores), *keys)
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if estimate < small_bytes else df

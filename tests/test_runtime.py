@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from lexisteppe import runtime as R
 from lexisteppe.operators import corpus
 from lexisteppe.runtime import sized_join
 
@@ -10,7 +12,7 @@ def test_sized_join_is_the_same_beyond_its_bound(spark, how):
     right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (None, "d"), (9, "e")], "k int, v string")
     if how == "left_semi":
         right = right.select("k")
-    small, large = (sorted(map(repr, sized_join(left, right, ["k"], how, most_rows=n).collect())) for n in (100, 0))
+    small, large = (sorted(map(repr, sized_join(left, right, ["k"], how, most_bytes=n).collect())) for n in (1 << 20, 0))
     assert small == large and small
 
 
@@ -38,3 +40,47 @@ def test_corpus_words_names_and_samples(spark):
     assert [r.word for r in corpus.known_by_parts(found, forms).collect()] == ["иск-отзыв"]
     sample = corpus.stratified_sample(docs, {"ru": 2, "kk": 2}, "s", 0, 100).collect()
     assert len(sample) == 2 and {r.lang for r in sample} == {"ru"}
+    plan = corpus.stratified_sample(docs, {"ru": 2, "kk": 3}, "s", 0, 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("Exchange") or plan.count("WindowGroupLimit") == 2  # cut before the exchange
+
+
+def test_no_session_setting_changes_and_batches_are_cut(spark):
+    import pyarrow as pa
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def kernel(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32())], names=["n"])
+
+    sizes = [r.n for r in R.arrow_map(spark.range(0, 1003, 1, 1), kernel, "n int", 10).collect()]
+    assert sum(sizes) == 1003 and max(sizes) == 10 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(monkeypatch):
+    """Off local masters an unset spark.checkpoint.dir is an error, never a folder of one machine."""
+
+    class Named:
+        def __init__(self, **kw):
+            self.__dict__.update(kw)
+
+    context = Named(master="spark://host:7077", _jsc=Named(sc=lambda: Named(getCheckpointDir=lambda: Named(isEmpty=lambda: True))), getConf=lambda: {}, setCheckpointDir=lambda _: pytest.fail("set"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        R.checkpointed(Named(sparkSession=Named(sparkContext=context)))
+
+
+def test_small_is_measured_in_bytes(spark):
+    long = spark.createDataFrame([("x" * 5_000,)] * 3, "t string")
+    assert R.is_small(long, 20_000) and not R.is_small(long, 10_000) and R.is_small(long.limit(0), 0) and not R.is_small(spark.range(1_000), 10_000)
+
+
+def test_spread_runs_no_job(spark):
+    df = spark.range(10).groupBy((F.col("id") % 3).alias("k")).count()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("spread", "spread")
+    try:
+        out = R.spread(df)
+        assert not tracker.getJobIdsForGroup("spread")
+        assert out.count() == 3
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

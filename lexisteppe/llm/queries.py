@@ -64,10 +64,17 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(read(spark, sf_dir, "documents"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _named_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "text")
-    paras = read(spark, sf_dir, "paras").select(F.lit("paras").alias("tbl"), F.col("para_id").alias("row_id"), "text")
-    return names.link(docs.unionByName(paras), read(spark, sf_dir, "registry"), ["tbl", "row_id"])
+    return docs.unionByName(read(spark, sf_dir, "paras").select(F.lit("paras").alias("tbl"), F.col("para_id").alias("row_id"), "text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link(_named_texts(spark, sf_dir), read(spark, sf_dir, "registry"), ["tbl", "row_id"])
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.links(_named_texts(spark, sf_dir), read(spark, sf_dir, "registry"), ["tbl", "row_id"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +101,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels")).select("doc_id", "level")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_languages, p3_found, p3_canonical, p4_found, p4_redacted, p5_found, p6_found, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_languages, p3_found, p3_canonical, p4_found, p4_redacted, p5_found, p5_links, p6_found, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
 
 _P1_LINES = r"""
 lines as (

@@ -110,7 +110,7 @@ def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.withColumn("_salt", spread).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
-def spread(df: DataFrame, *keys: str, small_bytes: int = 256 << 20) -> DataFrame:
+def spread(df: DataFrame, *keys: str, small_bytes: int = 64 << 20) -> DataFrame:
     """Rows over all cores, for work that is heavy for each row.
 
     With keys, rows are partitioned by them into as many parts as shuffles have, which windows and groups over the

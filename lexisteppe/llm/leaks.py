@@ -1,11 +1,14 @@
 """Evaluation passages inside training documents (problem 9), by greedy string tiling.
 
-Documents and test items share seeds of three words; around the seeds of one item the longest non-overlapping
-common runs are marked with running Karp-Rabin hashes, longest first; runs in the same order in both, without
-wide gaps, form a passage, and a passage of enough of the item's words with few of them lost is a leak.
+Documents and test items are exploded into seeds, hashes of a few words in a row that running Karp-Rabin gives, and
+joined by equal seeds. The length of a seed and the least number of shared ones follow from the definition of a
+passage (:func:`seed_rule`), so that no passage is without them. For each joined pair the longest common runs that
+do not overlap are marked, longest first: runs in the same order, with few words lost, are a passage; the share of
+the item's words under long runs, in whatever order, is its coverage.
 
-Defined results: null and empty texts hold no passages; case, punctuation and line breaks do not count; each
-(item, document) is given once; items shorter than the least passage cannot leak; repeated rows count once.
+Defined results: null and empty texts hold no passages; case, punctuation and line breaks do not count; in scripts
+without spaces between words a character is a word; each (item, document) is given once, with the best of its rows;
+items shorter than the least passage cannot leak; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -13,20 +16,37 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..runtime import arrow_map
+from ..runtime import arrow_map, sized_join, spread
 
+# Blocks of scripts that are written without spaces between words.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 WORDS = re.compile(r"[^\W_]+")
+CHARACTERS = re.compile(f"[{UNSPACED}]")
+WORDS_OR_CHARACTERS = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 BASE, MODULUS = 1_000_003, (1 << 61) - 1
+SLACK = 2
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    return (WORDS_OR_CHARACTERS if CHARACTERS.search(text) else WORDS).findall(text.lower())
+
+
+def seed_rule(least: int = 18, lost: float = 1 / 6) -> tuple[int, int]:
+    """(words of a seed, shared seeds at least) of every passage.
+
+    A passage of n words keeps n - k of them, k the lost ones, in k + 1 runs at most: its longest run is no shorter
+    than the mean, and m words in a row hold m - size + 1 seeds.
+    """
+    cases = [(n, int(n * lost + 1e-9)) for n in range(least, 20 * least)]
+    size = min(-((k - n) // (k + 1)) for n, k in cases)
+    return size, max(1, min(n - k - (size - 1) * (k + 1) for n, k in cases))
 
 
 def _windows(ids: list[int], marked: bytearray, size: int) -> Iterator[tuple[int, int]]:
@@ -80,25 +100,55 @@ def tiles(doc: list[int], item: list[int], least: int = 2, first: int = 20) -> l
         size = max(least, size // 2)
 
 
-def holds_passage(parts: list[tuple[int, int, int]], item_words: int, least: int = 18, lost: float = 1 / 6, slack: int = 2) -> bool:
-    """Whether tiles in the same order in both texts cover a passage of ``least`` words of the item.
+def common(a: list[int], b: list[int]) -> int:
+    """The most words that two short sequences have in the same order."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def _beside(doc: list[int], item: list[int], reach: int) -> list[tuple[int, int]]:
+    """(words of the item, kept ones) of what may lengthen a passage; both begin beside its end and lead away from it."""
+    out = [(0, 0)]
+    for m in range(1, min(reach, len(item)) + 1):
+        kept = common(item[:m], doc[: m + SLACK])
+        if kept > out[-1][1]:
+            out.append((m, kept))
+    return out
+
+
+def holds_passage(parts: list[tuple[int, int, int]], doc: list[int], item: list[int], least: int = 18, lost: float = 1 / 6, slack: int = SLACK) -> bool:
+    """Whether tiles in the same order in both texts, with single words between them, are a passage of ``least`` words of the item.
 
     Of the passage at most the share ``lost`` may be missing; the document may hold at most ``slack`` words more
-    than the item between two tiles. Words lost at the passage's ends count as lost too.
+    than the item between two tiles. From every tile the chains with most words kept are followed. No gap between tiles
+    of two words or more, of which at least half the words are lost, need be longer than ``reach``: of the two parts
+    beside such a gap one is a passage if the whole is; the same holds for the ends.
     """
-    if item_words < least:
+    if len(item) < least:
         return False
+    parts = sorted(parts, key=lambda t: t[1])
+    reach = int(least * lost / (0.5 - lost) + 1e-9) if lost < 0.5 else least
+    before = [_beside(doc[max(0, d - reach - slack) : d][::-1], item[max(0, i - reach) : i][::-1], reach) for d, i, _ in parts]
+    after = [_beside(doc[d + k : d + k + reach + slack], item[i + k : i + k + reach], reach) for d, i, k in parts]
     for a in range(len(parts)):
-        d, i, k = parts[a]
-        begin, kept, d, i = i, k, d + k, i + k
-        if _enough(kept, i - begin, least, lost):
-            return True
-        for e, j, n in parts[a + 1 :]:
-            if j < i or e - d > j - i + slack or j - i > 6:
+        begin = parts[a][1]
+        best = {a: parts[a][2]}
+        for b in range(a, len(parts)):
+            if b not in best:
                 continue
-            kept, d, i = kept + n, e + n, j + n
-            if _enough(kept, i - begin, least, lost):
+            d, i, k = parts[b]
+            if any(_enough(best[b] + x + y, i + k - begin + m + n, least, lost) for m, x in before[a] for n, y in after[b]):
                 return True
+            for c in range(b + 1, len(parts)):
+                e, j, n = parts[c]
+                if j - i - k > reach:
+                    break
+                if e >= d + k and e - d - k <= j - i - k + slack:
+                    best[c] = max(best.get(c, 0), best[b] + n + common(item[i + k : j], doc[d + k : e]))
     return False
 
 
@@ -107,106 +157,130 @@ def _enough(kept: int, span: int, least: int, lost: float) -> bool:
     return size - kept <= size * lost + 1e-9
 
 
-class Items:
-    """Test items as word ids, with an index of their seeds as sorted numbers."""
-
-    def __init__(self, rows: list[tuple[int, str]], seed: int = 3) -> None:
-        self.ids = [r[0] for r in rows]
-        self.vocabulary: dict[str, int] = {}
-        self.words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)] for _, text in rows]
-        self.seed, self.base = seed, len(self.vocabulary) + 1
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, words in enumerate(self.words):
-            for i in range(len(words) - seed + 1):
-                seeds[self._key(words[i : i + seed])].append((n, i))
-        self.seeds = dict(seeds)
-        self.keys = np.array(sorted(seeds), np.int64)
-
-    def _key(self, words: list[int]) -> int:
-        key = 0
-        for w in words:
-            key = (key * self.base + w) & ((1 << 62) - 1)
-        return key
-
-    def seed_places(self, ids: np.ndarray) -> np.ndarray:
-        """Where in a sequence of word ids (0: no word of any item) some item's seed begins."""
-        n = len(ids) - self.seed + 1
-        if n < 1 or not len(self.keys):
-            return np.zeros(0, np.int64)
-        known = ids > 0
-        at = np.flatnonzero(np.logical_and.reduce([known[k : n + k] for k in range(self.seed)]))
-        key = np.zeros(len(at), np.int64)
-        for k in range(self.seed):
-            key = (key * self.base + ids[at + k]) & ((1 << 62) - 1)
-        hit = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
-        return at[hit]
-
-    def leaked(self, ids: np.ndarray, places: np.ndarray, least: int, lost: float) -> list[int]:
-        """Items of which a document holds a passage; places: of the document's seeds."""
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for d in places.tolist():
-            for n, _ in self.seeds[self._key(ids[d : d + self.seed].tolist())]:
-                by_item[n].append(d)
-        found = []
-        for n, at in by_item.items():
-            item = self.words[n]
-            for a, b in _clusters(at, 24):
-                if b - a + self.seed >= least // 2:
-                    doc = ids[max(0, a - 4) : b + self.seed + 4].tolist()
-                    if holds_passage(tiles(doc, item), len(item), least, lost):
-                        found.append(self.ids[n])
-                        break
-        return found
-
-
-def _clusters(at: list[int], gap: int) -> Iterator[tuple[int, int]]:
-    first = last = at[0]
-    for x in at[1:]:
-        if x - last > gap:
-            yield first, last
-            first = x
-        last = x
-    yield first, last
-
-
-def leaks(documents: DataFrame, items: DataFrame, least: int = 18, lost: float = 1 / 6, block_words: int = 2_000_000) -> DataFrame:
-    """The distinct (item_id, doc_id) where a document holds a passage of a test item.
-
-    The items are a stated query set: sorted by id and sent to the executors in blocks of at most ``block_words``
-    words, each block against all documents. Documents are not shuffled.
+def may_hold(doc: set[int], item: list[int], least: int, lost: float) -> bool:
+    """Whether enough of some ``least`` or more words of an item in a row occur in a region at all, in any order."""
+    sums, total = [0.0], 0.0
+    for x in item:
+        total += lost if x in doc else lost - 1
+        sums.append(total)
+    low = float("inf")
+    for end in range(least, len(sums)):
+        low = min(low, sums[end - least])
+        if sums[end] - low >= -1e-6:
+            return True
+    return False
+
+
+class Item:
+    """A test item's words as numbers, and its seeds."""
+
+    def __init__(self, text: str, seed: int) -> None:
+        self.numbers: dict[str, int] = {}
+        self.words = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
+        self.places: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        for i, x in enumerate(zip(*(self.words[k:] for k in range(seed)), strict=False)):
+            self.places[x].append(i)
+
+
+def compared(doc: list[int], item: Item, seed: int, least: int, lost: float, threshold: float) -> tuple[int, bool]:
+    """(words of the item under tiles of a seed's length or more, whether the document holds a passage).
+
+    Only the regions around shared seeds are tiled, with room for a whole item on both sides of a seed. What cannot
+    be a passage, or cannot cover the threshold, by the words that occur there at all is not tiled; then no words
+    count as covered.
+    """
+    words, known = item.words, item.places
+    at = [i for i, x in enumerate(zip(*(doc[k:] for k in range(seed)), strict=False)) if x in known]
+    room = (SLACK + 1) * len(words)
+    regions: list[list[int]] = []
+    for i in at:
+        if regions and i - room <= regions[-1][1]:
+            regions[-1][1] = min(len(doc), i + seed + room)
+        else:
+            regions.append([max(0, i - room), min(len(doc), i + seed + room)])
+    passage = False
+    for a, b in regions:
+        part = doc[a:b]
+        passage = passage or may_hold(set(part), words, least, lost) and holds_passage(tiles(part, words), part, words, least, lost)
+    under = {p + k for x in {tuple(doc[i : i + seed]) for i in at} for p in known[x] for k in range(seed)}
+    if len(under) < threshold * len(words):
+        return 0, passage
+    joined = [x for n, (a, b) in enumerate(regions) for x in (*doc[a:b], -1 - n)]
+    return sum(k for _, _, k in tiles(joined, words, seed)) if joined else 0, passage
+
+
+class Hashes(dict):
+    """64-bit hashes of words, found once for each distinct word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _seeds(texts: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, seeds): the hashes of all ``size`` words in a row of every text."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            offsets, found = [0], []
+            for text in b.column(1).to_pylist():
+                words = words_of(text) if text else []
+                n = len(words) - size + 1
+                if n > 0:
+                    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                    h = np.zeros(n, np.uint64)
+                    for k in range(size):
+                        h = h * np.uint64(BASE) + ids[k : n + k]
+                    found.append(h)
+                offsets.append(offsets[-1] + (len(found[-1]) if n > 0 else 0))
+            values = pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[key, "seeds"])
+
+    return arrow_map(texts.select(key, "text").where(F.col("text").isNotNull()), kernel, f"{key} {kind}, seeds array<bigint>", 500)
+
+
+def coverage(documents: DataFrame, items: DataFrame, threshold: float = 0.5, least: int = 18, lost: float = 1 / 6) -> DataFrame:
+    """(item_id, doc_id, words, covered, coverage, passage) of the pairs with a passage, or with so much of the item that
+    its passages stand there in another order. With a threshold above 1 only passages count, and nothing is covered.
+
+    Documents give their seeds, which are joined with those of the items, measured and broadcast or else salted.
+    Only the documents of the pairs with as many shared seeds as a passage has, a few rows, are tiled.
     """
-    spark = documents.sparkSession
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    blocks: list[list[tuple[int, str]]] = [[]]
-    room = block_words
-    for i, text in sorted({(r.item_id, r.text) for r in items.select("item_id", "text").where("text is not null and item_id is not null").toLocalIterator()}):
-        room -= len(text) // 4
-        if room < 0 and blocks[-1]:
-            blocks.append([])
-            room = block_words
-        blocks[-1].append((i, text))
-    found = None
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
-
-        def kernel(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            known = Items(sent.value)
-            number = known.vocabulary.get
-            for b in batches:
-                item_ids: list[int] = []
-                doc_rows: list[int] = []
-                for row, text in enumerate(b.column(1).to_pylist()):
-                    if not text:
-                        continue
-                    words = words_of(text)
-                    ids = np.fromiter(map(number, words, repeat(0)), np.int64, len(words))
-                    places = known.seed_places(ids)
-                    if len(places) >= 3:
-                        hits = known.leaked(ids, places, least, lost)
-                        item_ids += hits
-                        doc_rows += [row] * len(hits)
-                yield pa.RecordBatch.from_arrays([pa.array(item_ids, pa.int64()), b.column(0).take(pa.array(doc_rows, pa.int32()))], names=["item_id", "doc_id"])
-
-        part = arrow_map(documents.select("doc_id", "text"), kernel, f"item_id bigint, doc_id {kind}")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    size, shared = seed_rule(least, lost)
+    items = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    documents = spread(documents.select("doc_id", "text").where("text is not null"))
+    item_seeds = _seeds(items, "item_id", size).select("item_id", F.explode("seeds").alias("seed"))
+    doc_seeds = _seeds(documents, "doc_id", size).select("doc_id", F.explode("seeds").alias("seed"))
+    pairs = sized_join(doc_seeds, item_seeds, ["seed"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared).select("doc_id", "item_id")
+    named = sized_join(pairs, items.withColumnRenamed("text", "item_text"), ["item_id"])
+    both = sized_join(documents, named, ["doc_id"])
+    doc_kind, item_kind = documents.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Item] = {}
+        for b in batches:
+            rows = []
+            for text, item_text in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                item = held.get(item_text)
+                if item is None:
+                    if len(held) > 10_000:
+                        held.clear()
+                    item = held[item_text] = Item(item_text, size)
+                covered, passage = compared([item.numbers.get(w, 0) for w in words_of(text)], item, size, least, lost, threshold)
+                rows.append((len(item.words), covered, passage))
+            words, covered, passage = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(words, pa.int32()), pa.array(covered, pa.int32()), pa.array(passage, pa.bool_())], names=["item_id", "doc_id", "words", "covered", "passage"])
+
+    tiled = arrow_map(both.select("doc_id", "text", "item_id", "item_text"), kernel, f"item_id {item_kind}, doc_id {doc_kind}, words int, covered int, passage boolean", 100)
+    wanted = tiled.where((F.col("words") >= least) & (F.col("passage") | (F.col("covered") >= threshold * F.col("words"))))
+    best = wanted.groupBy("item_id", "doc_id").agg(F.max("words").alias("words"), F.max("covered").alias("covered"), F.max("passage").alias("passage"))
+    return best.select("item_id", "doc_id", "words", "covered", F.round(F.col("covered") / F.col("words"), 6).alias("coverage"), "passage")
+
+
+def leaks(documents: DataFrame, items: DataFrame, least: int = 18, lost: float = 1 / 6) -> DataFrame:
+    """The distinct (item_id, doc_id) where a document holds a passage of a test item."""
+    return coverage(documents, items, 2.0, least, lost).where("passage").select("item_id", "doc_id")

@@ -458,6 +458,7 @@ def links(texts: DataFrame, registry: DataFrame, keys: list[str], column: str =
     Every table that is broadcast is measured first, beyond its bound the same join is salted.
     """
     types = ", ".join(f"{k} {texts.schema[k].dataType.simpleString()}" for k in keys)
+    texts = spread(texts.select(*keys, column))
     forms = checkpointed(rewritings_of(registry))
     longest = forms.where("startswith(form, 'firm ')").agg(F.max(F.size(F.split("form", " ")) - 1)).first()[0] or 0
     meant = checkpointed(meant_words(typed_words(texts, column), registry))

@@ -97,11 +97,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
+def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.coverage(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels")).select("doc_id", "level")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_languages, p3_found, p3_canonical, p4_found, p4_redacted, p5_found, p5_links, p6_found, p7_found, p7_counts, p8_ids, p9_found, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_languages, p3_found, p3_canonical, p4_found, p4_redacted, p5_found, p5_links, p6_found, p7_found, p7_counts, p8_ids, p9_found, p9_coverage, p10_found)}
 
 _P1_LINES = r"""
 lines as (

@@ -114,13 +114,14 @@ def spread(df: DataFrame, *keys: str, small_bytes: int = 64 << 20) -> DataFrame:
     """Rows over all cores, for work that is heavy for each row.
 
     With keys, rows are partitioned by them into as many parts as shuffles have, which windows and groups over the
-    keys then use and which adaptive planning does not merge for their few bytes. Without keys, only an input that
-    the planner holds for small, which may lie in fewer splits than there are cores, is moved; a large one is left
-    as it is. The size is the planner's estimate: no job is run for it.
+    keys then use and which adaptive planning does not merge for their few bytes. Without keys, only an input from
+    few bytes of files, which may lie in fewer splits than there are cores, is moved; a large one is left as it is.
+    The size is the planner's estimate of all tables read: no job is run for it.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if keys:
         return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores), *keys)
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    estimate = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(2 * cores) if estimate < small_bytes else df

@@ -256,8 +256,7 @@ def coverage(documents: DataFrame, items: DataFrame, threshold: float = 0.5, lea
     item_seeds = _seeds(items, "item_id", size).select("item_id", F.explode("seeds").alias("seed"))
     doc_seeds = _seeds(documents, "doc_id", size).select("doc_id", F.explode("seeds").alias("seed"))
     pairs = sized_join(doc_seeds, item_seeds, ["seed"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= shared).select("doc_id", "item_id")
-    named = sized_join(pairs, items.withColumnRenamed("text", "item_text"), ["item_id"])
-    both = sized_join(documents, named, ["doc_id"])
+    both = sized_join(sized_join(documents, pairs, ["doc_id"]), items.withColumnRenamed("text", "item_text"), ["item_id"])
     doc_kind, item_kind = documents.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

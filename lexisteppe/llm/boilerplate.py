@@ -1,7 +1,9 @@
 """Lines repeated across the documents of one site or court (problem 1).
 
 Distributed PrefixSpan: each document is the sequence of the identifiers of its long lines, each source and each
-court is a database of such sequences. A line's identifier is a 128-bit hash of its letters in lower case.
+court is a database of such sequences. A line's identifier is a 128-bit hash of its letters in lower case. Equal
+sequences of frequent lines are one row with a weight, so that copies cost nothing; the lines of the sequences that
+are found, single ones included, are then deleted from the documents of their source or court.
 
 Defined results: null and empty texts have no lines but count as documents of their group; rows of ``documents``
 are taken as they are (``doc_id`` is unique there); a null source or court is no group; repeated rows of ``acts``
@@ -60,49 +62,60 @@ def frequent_lines(seqs: DataFrame, min_docs: int = 5, min_share: float = 0.05)
     return sized_join(counts, least, ["kind", "name"]).where(F.col("n") >= F.col("least"))
 
 
-def repeated_lines(documents: DataFrame, acts: DataFrame, min_letters: int = 20, min_docs: int = 5, min_share: float = 0.05) -> DataFrame:
-    """(doc_id, line_no) of every line that lies in an occurrence of a frequent sequence of its source or court.
-
-    Support never grows with a sequence's length, so each line of a frequent sequence is itself a frequent
-    sequence of one line: the union of all occurrences is that of level 1. :func:`frequent_sequences` gives the
-    longer ones.
-    """
-    seqs = checkpointed(sequences(documents, acts, min_letters))
-    frequent = frequent_lines(seqs, min_docs, min_share).select("kind", "name", *ITEM)
-    lines = seqs.where(F.size("items") > 0).select("doc_id", F.explode("groups").alias("g"), "items").select("doc_id", "g.kind", "g.name", F.explode("items").alias("i"))
-    hits = sized_join(lines.select("doc_id", "kind", "name", "i.line_no", "i.h1", "i.h2"), frequent, ["kind", "name", *ITEM], "left_semi")
-    return hits.groupBy("doc_id", "line_no").agg(F.count("*").alias("groups")).select("doc_id", "line_no")
+def _lines(seqs: DataFrame) -> DataFrame:
+    """(doc_id, kind, name, line_no, h1, h2): the long lines of every document in each of its groups."""
+    each = seqs.where(F.size("items") > 0).select("doc_id", F.explode("groups").alias("g"), "items").select("doc_id", "g.kind", "g.name", F.explode("items").alias("i"))
+    return each.select("doc_id", "kind", "name", "i.line_no", *[F.col(f"i.{x}").alias(x) for x in ITEM])
 
 
-def frequent_sequences(documents: DataFrame, acts: DataFrame, max_length: int | None = None, min_letters: int = 20, min_docs: int = 5, min_share: float = 0.05) -> DataFrame:
-    """(kind, name, pattern, docs): all frequent sequences of line hashes with their support; none longer than
-    ``max_length``, if that is given.
+def mined(seqs: DataFrame, min_docs: int = 5, min_share: float = 0.05, max_gap: int | None = 0, max_length: int | None = None) -> DataFrame:
+    """(kind, name, pattern, docs): the frequent sequences of lines of every source and court by prefix growth.
 
-    Prefix growth: each level joins nothing but extends the projected databases, rows of (group, prefix, what
-    follows it in one document), by every distinct next item, and keeps the prefixes with enough support.
-    Only frequent lines enter, which are few in each document. It ends with the first level that has no frequent
-    prefix: what follows a prefix gets shorter with each level. A notice of n lines has 2^n - 1 sequences.
+    A sequence is a row of frequent lines with at most ``max_gap`` other frequent lines between neighbours (None: any
+    number; lines that are not frequent never count). Without a gap a document of m frequent lines has m * (m + 1) / 2
+    sequences at most, with any gaps 2^m. Each level extends every prefix behind all its ends by one line, adds up the
+    weights and keeps the prefixes with enough support; it is written, so that no level is worked out again. The search
+    ends with the first level that has none, or with ``max_length``.
     """
-    seqs = checkpointed(sequences(documents, acts, min_letters))
-    first = frequent_lines(seqs, min_docs, min_share)
-    lines = seqs.select("doc_id", F.explode("groups").alias("g"), "items").select("doc_id", "g.kind", "g.name", F.explode("items").alias("i")).select("doc_id", "kind", "name", "i.line_no", *[F.col(f"i.{x}").alias(x) for x in ITEM])
-    kept = sized_join(lines, first.select("kind", "name", *ITEM, "least"), ["kind", "name", *ITEM])
-    item = F.format_string("%016x%016x", "h1", "h2")
-    projected = kept.groupBy("doc_id", "kind", "name", "least").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", item.alias("item")))), lambda x: x["item"]).alias("rest")).withColumn("pattern", F.array().cast("array<string>"))
+    first = checkpointed(frequent_lines(seqs, min_docs, min_share))
+    kept = sized_join(_lines(seqs), first.select("kind", "name", *ITEM, "least"), ["kind", "name", *ITEM])
+    item = F.struct(*ITEM)
+    per_doc = kept.groupBy("doc_id", "kind", "name", "least").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    weighted = per_doc.groupBy("kind", "name", "least", "items").agg(F.count("*").alias("weight"))
+    projected = checkpointed(weighted).withColumn("pattern", F.slice("items", 1, 0)).withColumn("ends", F.lit(None).cast("array<int>"))
+    size = F.size("items")
     found = None
     for level in count(1):
-        grown = projected.select("doc_id", "kind", "name", "least", "pattern", "rest", F.explode(F.array_distinct("rest")).alias("item"))
-        grown = grown.select(
-            "doc_id", "kind", "name", "least", F.concat("pattern", F.array("item")).alias("pattern"),
-            F.expr("slice(rest, cast(array_position(rest, item) as int) + 1, size(rest))").alias("rest"),
-        )
-        support = grown.groupBy("kind", "name", "pattern").agg(F.count("*").alias("docs"), F.first("least").alias("least")).where("docs >= least").select("kind", "name", "pattern", "docs")
+        # Where the next line may stand, from 1: anywhere at first, then within the gap behind an end.
+        behind = F.flatten(F.transform("ends", lambda e: F.when(e < size, F.sequence(e + 1, size if max_gap is None else F.least(e + 1 + max_gap, size))).otherwise(F.array().cast("array<int>"))))
+        places = F.when(F.col("ends").isNull(), F.sequence(F.lit(1), size)).otherwise(F.array_distinct(behind))
+        grown = projected.withColumn("places", places).withColumn("item", F.explode(F.array_distinct(F.transform("places", lambda p: F.get("items", p - 1)))))
+        grown = grown.select("kind", "name", "least", "items", "weight", F.array_append("pattern", F.col("item")).alias("pattern"), F.filter("places", lambda p: F.get("items", p - 1) == F.col("item")).alias("ends"))
+        grown = checkpointed(grown)
+        support = grown.groupBy("kind", "name", "pattern").agg(F.sum("weight").alias("docs"), F.first("least").alias("least")).where("docs >= least").select("kind", "name", "pattern", "docs")
         support = checkpointed(support)
         found = support if found is None else found.unionByName(support)
         if level == max_length or support.isEmpty():
-            break
-        projected = checkpointed(sized_join(grown, support.select("kind", "name", "pattern"), ["kind", "name", "pattern"], "left_semi").where(F.size("rest") > 0))
-    return found
+            return found
+        projected = sized_join(grown, support.select("kind", "name", "pattern"), ["kind", "name", "pattern"], "left_semi").where(F.array_min("ends") < size)
+
+
+def frequent_sequences(documents: DataFrame, acts: DataFrame, max_length: int | None = None, min_letters: int = 20, min_docs: int = 5, min_share: float = 0.05, max_gap: int | None = None) -> DataFrame:
+    """(kind, name, pattern, docs) of :func:`mined`, each line of a pattern as 32 hexadecimal digits."""
+    found = mined(checkpointed(sequences(documents, acts, min_letters)), min_docs, min_share, max_gap, max_length)
+    return found.withColumn("pattern", F.transform("pattern", lambda x: F.format_string("%016x%016x", x["h1"], x["h2"])))
+
+
+def repeated_lines(documents: DataFrame, acts: DataFrame, min_letters: int = 20, min_docs: int = 5, min_share: float = 0.05) -> DataFrame:
+    """(doc_id, line_no) of every line of a frequent sequence, in all documents of its source or court.
+
+    Single lines are sequences too, so a line of a longer notice is found also where it stands alone.
+    """
+    seqs = checkpointed(sequences(documents, acts, min_letters))
+    patterns = mined(seqs, min_docs, min_share)
+    wanted = patterns.select("kind", "name", F.inline("pattern")).distinct()
+    hits = sized_join(_lines(seqs), wanted, ["kind", "name", *ITEM], "left_semi")
+    return hits.groupBy("doc_id", "line_no").agg(F.count("*").alias("groups")).select("doc_id", "line_no")
 
 
 def without_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.frequent_sequences(read(spark, sf_dir, "documents"), read(spark, sf_dir, "acts")).selectExpr("kind", "name", "array_join(pattern, ' ') as pattern", "docs")
+    return boilerplate.frequent_sequences(read(spark, sf_dir, "documents"), read(spark, sf_dir, "acts"), max_gap=0).selectExpr("kind", "name", "array_join(pattern, ' ') as pattern", "docs")
 
 
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,31 @@ def test_sequences_of_any_length(spark):
     found = B.frequent_sequences(_docs(spark, rows), _acts(spark, [])).collect()
     assert sorted(len(r.pattern) for r in found) == [1] * 5 + [2] * 10 + [3] * 10 + [4] * 5 + [5] and {r.docs for r in found} == {5}
     assert max(len(r.pattern) for r in B.frequent_sequences(_docs(spark, rows), _acts(spark, []), max_length=2).collect()) == 2
+
+
+def test_sequences_without_gaps_against_brute_force(spark):
+    """Rows of frequent lines only, at most one gap between neighbours; copies weigh as much as they are."""
+    a, b, c, d = (f"строка {x * 25}" for x in "абвг")
+    texts = ["\n".join(x) for x in ([a, b, c, d], [a, b, c, d], [a, "иное", b, d], [b, c, a, b], [d, c, b, a], [c])]
+    docs = _docs(spark, [(i, t, "s", None, None) for i, t in enumerate(texts)])
+    for gap in (0, 1, None):
+        support = defaultdict(int)
+        for t in texts:
+            lines = [x for x in t.split("\n") if len(x) > 20]
+            subs = set()
+            for mask in range(1, 1 << len(lines)):
+                at = [i for i in range(len(lines)) if mask >> i & 1]
+                if gap is None or all(y - x <= gap + 1 for x, y in zip(at, at[1:], strict=False)):
+                    subs.add(tuple(lines[i] for i in at))
+            for s in subs:
+                support[s] += 1
+        found = B.frequent_sequences(docs, _acts(spark, []), min_docs=2, max_gap=gap).collect()
+        assert sorted((len(k), n) for k, n in support.items() if n >= 2) == sorted((len(r.pattern), r.docs) for r in found), gap
+
+
+def test_a_long_notice_is_mined_without_its_subsets(spark):
+    notice = "\n".join(f"строка {chr(0x430 + i) * 25}" for i in range(12))
+    docs = _docs(spark, [(i, f"слово {i}\n{notice}\nконец {i}", "s", None, None) for i in range(5)])
+    found = B.frequent_sequences(docs, _acts(spark, []), max_gap=0).collect()
+    assert sorted(len(r.pattern) for r in found) == sorted(n for n in range(1, 13) for _ in range(13 - n))
+    assert {tuple(r) for r in B.repeated_lines(docs, _acts(spark, [])).collect()} == {(i, n) for i in range(5) for n in range(1, 13)}

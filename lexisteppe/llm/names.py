@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import arrow_map, checkpointed, is_small, sized_join, spread
-from .canonical import INVISIBLE, SPACES, WIDE, mapped
+from .canonical import FORMS, IGNORABLE, SPACES, mapped
 
 # Short names of persons, and the legal forms of organisations with what they stand for.
 NICKNAMES = {
@@ -53,9 +53,15 @@ FORM_BEFORE = regex.compile(rf"(?i)(?<!\p{{L}})(?:{'|'.join(LEGAL_FORMS)})[ \t]*
 FORM_AFTER = regex.compile(rf"(?i)[ \t]*,?[ \t]*(?:{'|'.join(LEGAL_FORMS)})(?!\p{{L}})")
 FIRM_GAP = regex.compile(r"[ \t\-]{1,3}")
 CAPITAL = regex.compile(r"[\p{Lu}\p{Lt}\p{Lo}]\p{L}*")
-#: Marks that make one character with a letter before them.
-COMPOSING = "".join(sorted({chr(int(d[1], 16)) for d in map(str.split, map(unicodedata.decomposition, map(chr, range(0x110000)))) if len(d) == 2 and d[0][0] != "<"}))
-ODD = re.compile(f"[{INVISIBLE}{SPACES}{WIDE}{COMPOSING}]")
+#: What changes a text whatever stands beside it, marks that compose, and whatever lies beyond the first plane.
+COMPOSING = {chr(int(d[1], 16)) for d in map(str.split, map(unicodedata.decomposition, map(chr, range(0x10000)))) if len(d) == 2 and d[0][0] != "<"}
+ODD = re.compile(f"[{re.escape(''.join(sorted(c for c in {*IGNORABLE, *FORMS, *COMPOSING} if c < chr(0x10000))))}{SPACES}]")
+FAR = re.compile("[\U00010000-\U0010ffff]")
+
+
+def odd(text: str) -> bool:
+    return bool(ODD.search(text) or FAR.search(text))
+
 
 #: What a word may be, with the slips allowed in a listed word: (most, from this many letters on, one slip from this many on).
 ROLES = {"surname": (2, 7, 3), "given": (1, 5, 5), "root": (1, 5, 5), "firm": (1, 4, 4), "initials": (0, 1, 1)}
@@ -226,9 +232,9 @@ def typed_words(texts: DataFrame, column: str) -> DataFrame:
             for text in b.column(0).to_pylist():
                 if text:
                     found |= capitalised(text)
-                    if ODD.search(text):
+                    if odd(text):
                         for line in text.split("\n"):
-                            if ODD.search(line):
+                            if odd(line):
                                 found |= capitalised(plain(line))
             new = found - seen
             seen |= new
@@ -421,10 +427,10 @@ def _lines(texts: DataFrame, keys: list[str], column: str, types: str) -> DataFr
             for i, text in enumerate(b.column(len(keys)).to_pylist()):
                 if not text:
                     continue
-                anywhere = ODD.search(text)
+                anywhere = odd(text)
                 for n, raw in enumerate(text.split("\n")):
-                    capital, odd = capitalised(raw), anywhere and ODD.search(raw)
-                    if not capital and not odd:
+                    capital, hidden = capitalised(raw), anywhere and odd(raw)
+                    if not capital and not hidden:
                         continue
                     if len(forms) > 1_000_000:
                         forms.clear()
@@ -437,7 +443,7 @@ def _lines(texts: DataFrame, keys: list[str], column: str, types: str) -> DataFr
                         words |= own[0]
                         mixed = mixed or own[1]
                     line = raw
-                    if mixed or odd:
+                    if mixed or hidden:
                         line = plain(raw)
                         if line != raw:
                             words.update(x for w in capitalised(line) for x in _keys_of(w))

@@ -1,10 +1,10 @@
 """Frequency of every distinct term (problem 7), by counting in burst tries.
 
 Each task counts its documents' terms into a burst trie: containers of terms with two counters, which burst into
-one container for each next letter when they hold too many. The containers of all tasks are then routed by
-prefix: a table of burst prefixes, from the sizes of all containers, says how long the prefix of a route must be
-for its merged subtree to stay small, so that no group grows with the data. Matching subtrees meet in one group
-and are merged there.
+one container for each next letter when they hold too many. The entries of all tasks are routed by adaptive
+prefixes: a prefix with too many entries is lengthened to the letter where its terms part, level by level, so that
+no group grows with the data however long the terms or large the collection. The entries of one prefix meet in one
+group, where the tasks' subtrees are merged into one trie.
 
 Defined results: a null text and a text without letters have no terms, but their rows count in the share of
 records; rows are counted as given; an empty table gives no terms.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.letters import lowered_runs
-from ..runtime import arrow_map, checkpointed, ship_package
+from ..runtime import arrow_map, checkpointed, ship_package, sized_join, spread
 
 LEAF = "prefix string, terms array<string>, n array<bigint>, docs array<bigint>"
 
@@ -100,55 +100,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(trie.leaves())
 
 
-def _router(burst: frozenset[str]):
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts: dict[str, dict[str, list[int]]] = {}
-            for terms, n, docs in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                for term, k, d in zip(terms, n, docs, strict=True):
-                    i = 1
-                    while i < len(term) and term[:i] in burst:
-                        i += 1
-                    key = term if term[:i] in burst else term[:i]
-                    held = parts.setdefault(key + "$" * (term[:i] in burst), {})
-                    c = held.get(term)
-                    if c is None:
-                        held[term] = [k, d]
-                    else:
-                        c[0] += k
-                        c[1] += d
-            yield from _rows(iter(parts.items()))
-
-    return route
-
-
 def _merge(table: pa.Table) -> pa.Table:
-    merged: dict[str, list[int]] = {}
-    for terms, n, docs in zip(*(table.column(x).to_pylist() for x in ("terms", "n", "docs")), strict=True):
-        for term, k, d in zip(terms, n, docs, strict=True):
-            c = merged.get(term)
-            if c is None:
-                merged[term] = [k, d]
-            else:
-                c[0] += k
-                c[1] += d
-    return pa.table({"term": pa.array(merged, pa.string()), "n": pa.array([c[0] for c in merged.values()], pa.int64()), "docs": pa.array([c[1] for c in merged.values()], pa.int64())})
+    """One trie of a prefix's entries from all tasks."""
+    trie = BurstTrie()
+    for term, k, d in zip(*(table.column(x).to_pylist() for x in ("term", "n", "docs")), strict=True):
+        trie.add(term, k, d)
+    rows = [(term, *counts) for _, held in trie.leaves() for term, counts in held.items()]
+    term, n, docs = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"term": pa.array(term, pa.string()), "n": pa.array(n, pa.int64()), "docs": pa.array(docs, pa.int64())})
 
 
-def term_counts(documents: DataFrame, column: str = "text", subtree: int = 50_000, most_prefixes: int = 20_000) -> DataFrame:
-    """(term, n, docs): occurrences and records of every term of a text column.
+def routed(entries: DataFrame, subtree: int) -> DataFrame:
+    """Entries (term, ...) with the prefix of their group, which has at most ``subtree`` entries or one term only.
 
-    ``subtree`` is how many entries a merged group may hold. The table of burst prefixes has at most
-    (entries / subtree) * (longest prefix) rows; where that would pass ``most_prefixes``, subtrees grow instead.
+    Each level counts the entries of every prefix that may still be too large and joins the lengths of the next
+    prefixes back: the common prefix of the first and the last term is that of all between.
     """
-    leaves = checkpointed(arrow_map(documents.select(column), _count, LEAF))
-    entries = leaves.agg(F.sum(F.size("terms"))).first()[0] or 0
-    most = max(subtree, 16 * entries // most_prefixes)
-    prefixes = leaves.select(F.explode("terms").alias("t")).select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("t"), F.lit(16))), lambda i: F.col("t").substr(F.lit(1), i))).alias("p"))
-    burst = frozenset(r.p for r in prefixes.groupBy("p").count().where(F.col("count") > most).select("p").collect()) if entries > most else frozenset()
+    out = entries.withColumn("prefix", F.substring("term", 1, 1)).withColumn("_open", F.lit(True))
+    same = F.aggregate(
+        F.sequence(F.lit(1), F.least(F.length("lo"), F.length("hi"))), F.lit(0),
+        lambda n, i: F.when((n == i - 1) & (F.substring(F.col("lo"), i, F.lit(1)) == F.substring(F.col("hi"), i, F.lit(1))), i).otherwise(n),
+    )
+    while True:
+        groups = out.where("_open").groupBy("prefix").agg(F.count("*").alias("entries"), F.min("term").alias("lo"), F.max("term").alias("hi"))
+        burst = checkpointed(groups.where((F.col("entries") > subtree) & (F.col("lo") != F.col("hi"))).select("prefix", (same + 1).alias("_length")))
+        if burst.isEmpty():
+            return out.drop("_open")
+        longer = F.when(F.col("_open"), F.substring(F.col("term"), F.lit(1), F.col("_length")))
+        out = sized_join(out, burst, ["prefix"], "left").withColumn("_open", F.col("_open") & F.col("_length").isNotNull()).withColumn("prefix", F.coalesce(longer, "prefix")).drop("_length")
+
+
+def term_counts(documents: DataFrame, column: str = "text", subtree: int = 50_000) -> DataFrame:
+    """(term, n, docs): occurrences and records of every term of a text column. ``subtree`` is how many entries a merged group may hold."""
+    leaves = checkpointed(arrow_map(spread(documents.select(column)), _count, LEAF))
+    entries = leaves.select(F.inline(F.arrays_zip(F.col("terms").alias("term"), "n", "docs")))
     ship_package(documents.sparkSession)
-    routed = arrow_map(leaves, _router(burst), LEAF, 64)
-    return routed.groupBy("prefix").applyInArrow(_merge, "term string, n bigint, docs bigint")
+    return routed(entries, subtree).groupBy("prefix").applyInArrow(_merge, "term string, n bigint, docs bigint")
 
 
 def marked_terms(documents: DataFrame, common_share: float = 0.2) -> DataFrame:

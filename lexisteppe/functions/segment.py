@@ -55,35 +55,43 @@ def words(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(WORD), F.lit(1)), lambda w: w != "")
 
 
-_MARK = ""
-
-
 def sentence_end(lang: str) -> str:
-    """A pattern of what ends a sentence, with the closing signs behind it.
+    """A pattern of what may end a sentence, with the closing signs behind it.
 
     Marks end a sentence at the text's end, or before white space and a capital, a digit, a quote or a bracket; a
-    single full stop does not after an abbreviation, one capital letter, or a number that begins its line.
+    single full stop does not after an abbreviation or one capital letter. (Nor after a number that begins its line,
+    which :func:`sentences` sees to, since a number may have any length.)
     """
     forms = alternatives([*ABBREVIATIONS_RU, *(ABBREVIATIONS_KK if lang == "kk" else [])])
     short = rf"(?<!(?<![{LETTERS}.])(?iu:{forms}))(?<!(?<![{LETTERS}.])\p{{Lu}})"
-    numbered = r"(?<!(?:\A|\n)\s{0,9}\d{1,9})"
     begins = r"(?=\s+[\p{Lu}\d«\"(])"
     close = r"[»\")\]]*"
-    return rf"(?U)(?<![.!?…])(?:[.!?…]+{close}(?=\s*\z)|[!?…][.!?…]*{close}{begins}|(?=\.){short}{numbered}\.[.!?…]*{close}{begins})"
+    return rf"(?U)(?<![.!?…])(?:[.!?…]+{close}(?=\s*\z)|[!?…][.!?…]*{close}{begins}|(?=\.){short}\.[.!?…]*{close}{begins})"
 
 
 def sentences(text: Column, lang: str = "ru") -> Column:
-    """(start, end) of the sentences, without white space around them. Null gives null, blank text none."""
-    pieces = F.split(F.regexp_replace(text, sentence_end(lang), F.lit("$0" + _MARK)), _MARK, -1)
+    """(start, end) of the sentences, without white space around them. Null gives null, blank text none.
 
-    def step(acc: Column, piece: Column) -> Column:
-        bare = F.regexp_replace(piece, r"(?U)^\s+|\s+\z", "")
-        start = acc["at"] + F.length(piece) - F.length(F.regexp_replace(piece, r"(?U)^\s+", ""))
-        one = F.struct(start.alias("start"), (start + F.length(bare)).alias("end"))
-        out = F.when(bare == "", acc["out"]).otherwise(F.array_append(acc["out"], one))
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    The ends and the texts between them, found by one pattern, give the offsets as running lengths; nothing is
+    written into the text.
+    """
+    pattern = sentence_end(lang)
+    between = F.split(text, pattern, -1)
+    ends = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.arrays_zip(between.alias("text"), ends.alias("end"), F.slice(between, F.lit(2), F.size(between)).alias("next"))
+
+    def step(acc: Column, x: Column) -> Column:
+        piece, first = F.concat(x["text"], F.coalesce(x["end"], F.lit(""))), acc["at"] == 0
+        numbered = F.when(first, x["text"].rlike(r"(?U)(?:\A|\n)\s*\d+\z")).otherwise(x["text"].rlike(r"(?U)\n\s*\d+\z"))
+        goes_on = F.coalesce(F.startswith(x["end"], F.lit(".")) & numbered & x["next"].rlike(r"(?U)\S"), F.lit(False))
+        blank = ~piece.rlike(r"(?U)\S")
+        begin = F.when(acc["begin"] >= 0, acc["begin"]).when(blank, F.lit(-1)).otherwise(acc["at"] + F.length(piece) - F.length(F.regexp_replace(piece, r"(?U)^\s+", "")))
+        stop = F.when(blank, acc["stop"]).otherwise(acc["at"] + F.length(F.regexp_replace(piece, r"(?U)\s+\z", "")))
+        whole = ~goes_on & (begin >= 0)
+        out = F.when(whole, F.array_append(acc["out"], F.struct(begin.alias("start"), stop.alias("end")))).otherwise(acc["out"])
+        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(whole, F.lit(-1)).otherwise(begin).alias("begin"), stop.alias("stop"), out.alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("begin"), F.lit(0).alias("stop"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
 
 

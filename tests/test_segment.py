@@ -87,3 +87,10 @@ def test_languages_carry_forward(spark):
     known = spark.createDataFrame([("мой",), ("дом",), ("там",)], "form string")
     one = spark.createDataFrame([(1, 0, "мой дом там, Нұрлан")], "doc_id int, para int, text string")
     assert with_languages(one).first().lang == "kk" and with_languages(one, ru_known=known).first().lang == "ru"
+
+
+def test_sentences_with_private_characters_and_long_numbers(spark):
+    """No character is a marker, and a number that begins a line may have any length."""
+    rows = [("Суд\ue000 решил. Иск\ue000.", [(0, 11), (12, 17)]), ("123456789012. Иск подан. Да", [(0, 24), (25, 27)]), ("Да.\n" + " " * 20 + "12. Иск", [(0, 3), (24, 31)]), ("12.", [(0, 3)]), ("Да. 5. Нет", [(0, 3), (4, 6), (7, 10)])]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "text string").select(sentences(F.col("text")).alias("s")).collect()
+    assert [[tuple(x) for x in r.s] for r in got] == [w for _, w in rows]

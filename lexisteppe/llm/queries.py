@@ -78,7 +78,7 @@ def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.split_sentences(sentences.distinct_texts(read(spark, sf_dir, "para_contexts")))
+    return sentences.distinct_sentences(read(spark, sf_dir, "para_contexts"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_map
+from ..runtime import arrow_map, spread
 
 # Short forms, written without their last full stop. A form with a space or a stop inside is listed
 # whole. NEEDS: something of the same sentence follows. MAY_END: may stand at a sentence's end.
@@ -72,6 +72,7 @@ def _signs(line: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the line's special signs: a terminator, an opening or a closing sign that has its partner."""
     found = [(m.start(), m.end()) for m in SPECIAL.finditer(line)]
     kinds, stack, straight = {}, [], None
+    waiting: dict[str, int] = {}  # how many of each closing sign the stack waits for, so that one in vain costs nothing
     for s, _ in found:
         c = line[s]
         if c == '"':
@@ -81,13 +82,16 @@ def _signs(line: str) -> list[tuple[int, int, str]]:
                 kinds[straight], kinds[s], straight = "open", "close", None
         elif stack and c == stack[-1][1]:
             kinds[stack.pop()[0]], kinds[s] = "open", "close"
+            waiting[c] -= 1
         elif c in PAIRS:
             stack.append((s, PAIRS[c]))
-        elif c in CLOSERS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][1] == c:
-                    kinds[stack[k][0]], kinds[s] = "open", "close"
-                    del stack[k:]
+            waiting[PAIRS[c]] = waiting.get(PAIRS[c], 0) + 1
+        elif c in CLOSERS and waiting.get(c):
+            while True:  # what lies above its partner has none
+                at, closer = stack.pop()
+                waiting[closer] -= 1
+                if closer == c:
+                    kinds[at], kinds[s] = "open", "close"
                     break
     return [(s, e, kinds.get(s, "") if e - s == 1 and line[s] in _BRACKETS else "stop") for s, e in found]
 
@@ -237,6 +241,25 @@ def split_sentences(paragraphs: DataFrame, id_column: str = "para_id", text_colu
     return arrow_map(paragraphs.select(id_column, text_column), kernel, f"{id_column} {kind}, start_pos int, end_pos int")
 
 
+def distinct_sentences(paragraphs: DataFrame, id_column: str = "para_id", text_column: str = "text") -> DataFrame:
+    """(id, start_pos, end_pos): the sentences of every id once, though its row may be repeated.
+
+    Repeated rows are dropped behind the automaton, by the offsets and a hash of the text, so that no text is
+    shuffled. Of different texts of one id the one with the lowest hash counts.
+    """
+    kind = paragraphs.schema[id_column].dataType.simpleString()
+    span = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32())]))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [[{"start_pos": s, "end_pos": e} for s, e in sentence_offsets(t)] if t and LETTER.search(t) else [] for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span)], names=[id_column, "h", "spans"])
+
+    rows = spread(paragraphs.select(id_column, text_column)).select(id_column, F.xxhash64(text_column).alias("h"), text_column).where(F.col(text_column).isNotNull())
+    found = arrow_map(rows, kernel, f"{id_column} {kind}, h bigint, spans array<struct<start_pos:int,end_pos:int>>")
+    return found.groupBy(id_column).agg(F.min(F.struct("h", "spans")).alias("x")).select(id_column, F.inline("x.spans"))
+
+
 def distinct_texts(paragraphs: DataFrame, id_column: str = "para_id", text_column: str = "text") -> DataFrame:
     """One row for each id: repeated rows once; of several texts of one id the smallest."""
     return paragraphs.groupBy(id_column).agg(F.min(text_column).alias(text_column))

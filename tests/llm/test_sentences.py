@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexisteppe.llm import sentences as S
 from lexisteppe.llm.sentences import sentence_offsets, split_sentences, distinct_texts
 
 
@@ -43,3 +44,22 @@ def test_table(spark):
     out = [tuple(r) for r in split_sentences(distinct_texts(df)).orderBy("para_id", "start_pos").collect()]
     assert out == [(1, 0, 3), (1, 4, 8), (5, 0, 199_999), (6, 0, 5), (6, 6, 10)]
     assert split_sentences(df.limit(0)).count() == 0
+
+
+def test_hostile_brackets_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        S.sentence_offsets("(" * n + "а" + "]" * n + ". Да.")
+        return time.perf_counter() - began
+
+    assert min(seconds(80_000) for _ in range(3)) < 16 * max(min(seconds(10_000) for _ in range(3)), 0.005)
+
+
+def test_repeated_rows_count_once(spark):
+    df = spark.createDataFrame([(1, "Суд решил. Иск подан."), (1, "Суд решил. Иск подан."), (2, None), (2, "Да."), (3, ""), (4, "12"), (None, "Да."), (5, "а. «б [в) г»! Да")], "para_id bigint, text string")
+    once = df.distinct()
+    got = sorted(map(tuple, S.distinct_sentences(df).collect()), key=repr)
+    assert got == sorted(map(tuple, S.split_sentences(once).collect()), key=repr) and len([g for g in got if g[0] == 1]) == 2
+    assert S.distinct_sentences(df.limit(0)).count() == 0

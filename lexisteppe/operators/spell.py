@@ -91,13 +91,13 @@ def word_tokens(paragraphs: DataFrame, keys: tuple[str, str] = ("doc_id", "para"
     )
 
 
-def check(words: DataFrame, lists: Words, stage: str, keys: tuple[str, str] = ("doc_id", "para"), foreign_hints: bool = True, repeated_names: bool = False, marks: DataFrame | None = None) -> DataFrame:
+def check(words: DataFrame, lists: Words, stage: str, keys: tuple[str, str] = ("doc_id", "para"), foreign_hints: bool = True, repeated_names: bool = False, marks: DataFrame | None = None, hints: DataFrame | None = None) -> DataFrame:
     """Issues of the words (from :func:`word_tokens`) that no list accepts.
 
     In this order: unchecked or accepted words and words within a user's phrase are none; words of the other
     language get a hint outside quotes; capitalised words inside a sentence get a hint, none if ``repeated_names``
     and the same form stands twice in the document; all others are errors. ``marks`` are the words' marks by
-    :func:`accepted_words`, if they are known already.
+    :func:`accepted_words`, if they are known already; ``hints`` (word, suggestions) are given with errors.
     """
     if repeated_names:
         words = words.withColumn("_n", F.count("*").over(Window.partitionBy(keys[0], "word")))
@@ -108,36 +108,41 @@ def check(words: DataFrame, lists: Words, stage: str, keys: tuple[str, str] = ("
     name = title_case(F.col("word")) & ~F.col("starts")
     kind = F.when(F.col("foreign"), F.when(F.lit(foreign_hints) & ~F.col("quoted"), "foreign")).when(name, F.when(F.col("_n") < 2, "name")).otherwise("unknown")
     kinds = joined.withColumn("_kind", kind).where(F.col("_kind").isNotNull())
+    kinds = sized_join(kinds, hints, ["word"], "left") if hints is not None else kinds.withColumn("suggestions", F.lit(None).cast("array<string>"))
+    shown = F.when(F.col("_kind") == "unknown", F.col("suggestions"))
     style = F.col("_kind") == "foreign"
     message = F.when(style, lists.foreign_message).when(F.col("_kind") == "name", "An unknown capitalised word: is the name right?").otherwise("Perhaps a spelling error")
     return kinds.select(
         *keys, "start_pos", "end_pos", F.when(style, "style").otherwise("spelling").alias("category"), F.when(F.col("_kind") == "unknown", "error").otherwise("hint").alias("level"),
-        F.concat(F.lit(f"{lists.engine}:"), "_kind").alias("rule_id"), F.lit(lists.engine).alias("engine"), message.alias("message"), F.array().cast("array<string>").alias("suggestions"),
+        F.concat(F.lit(f"{lists.engine}:"), "_kind").alias("rule_id"), F.lit(lists.engine).alias("engine"), message.alias("message"), F.coalesce(shown, F.array().cast("array<string>")).alias("suggestions"),
         F.struct(F.lit(STAGES[stage]).alias("stage"), F.lit(0).alias("rule"), F.col("start_pos").alias("pos")).alias("seq"),
     )
 
 
-def spelling_issues(paragraphs: DataFrame, ru: Words, kk: Words, keys: tuple[str, str] = ("doc_id", "para"), russian_by_lists: bool = True) -> DataFrame:
+def spelling_issues(paragraphs: DataFrame, ru: Words, kk: Words, keys: tuple[str, str] = ("doc_id", "para"), russian_by_lists: bool = True, suggest: int = 5) -> DataFrame:
     """Every paragraph's words to the lists of its language.
 
     Russian paragraphs: all words to the Russian lists (unless an external checker sees them, then
     ``russian_by_lists`` is false), and words with Kazakh letters to the Kazakh ones; Kazakh paragraphs to the Kazakh lists; in mixed ones words with Kazakh letters to the Kazakh lists without hints, the
     rest to the Russian ones unless the Kazakh dictionary knows them. The words are found once and written; each
-    list is looked up once for every distinct word.
+    list is looked up once for every distinct word. Errors carry up to ``suggest`` forms of the dictionary that are near,
+    found once for every distinct unknown word (0: none).
     """
     words = checkpointed(word_tokens(paragraphs, keys, tuple({*ru.phrases, *kk.phrases})))
     with_kk = F.col("word").rlike(KK_LETTER)
     candidates = words.where(~unchecked(F.col("word")))
     marks_ru = checkpointed(accepted_words(candidates.where("lang <> 'kk'"), ru))
     marks_kk = checkpointed(accepted_words(candidates.where(with_kk | (F.col("lang") == "kk")), kk))
+    near = lambda marks, lists: checkpointed(suggestions(marks.where(~F.col("accepted") & ~F.col("foreign")), lists.forms, suggest)) if suggest else None
+    hints_ru, hints_kk = near(marks_ru, ru), near(marks_kk, kk)
     russian, kazakh, mixed = (words.where(F.col("lang") == lang) for lang in ("ru", "kk", "mixed"))
     rest = mixed.where(~with_kk).join(kk.forms.select(F.col("form").alias("word")).distinct(), "word", "left_anti").select(words.columns)
     parts = [
-        check(mixed.where(with_kk), kk, "mixed", keys, foreign_hints=False, marks=marks_kk),
-        check(rest, ru, "mixed", keys, marks=marks_ru),
-        *([check(russian, ru, "ru", keys, repeated_names=True, marks=marks_ru)] if russian_by_lists else []),
-        check(russian.where(with_kk), kk, "ru_names", keys, marks=marks_kk),
-        check(kazakh, kk, "kk", keys, repeated_names=True, marks=marks_kk),
+        check(mixed.where(with_kk), kk, "mixed", keys, foreign_hints=False, marks=marks_kk, hints=hints_kk),
+        check(rest, ru, "mixed", keys, marks=marks_ru, hints=hints_ru),
+        *([check(russian, ru, "ru", keys, repeated_names=True, marks=marks_ru, hints=hints_ru)] if russian_by_lists else []),
+        check(russian.where(with_kk), kk, "ru_names", keys, marks=marks_kk, hints=hints_kk),
+        check(kazakh, kk, "kk", keys, repeated_names=True, marks=marks_kk, hints=hints_kk),
     ]
     out = parts[0]
     for p in parts[1:]:

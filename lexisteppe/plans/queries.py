@@ -128,14 +128,21 @@ def typography(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule_id", "doc_id", "para", "start_pos")
 
 
-@query(rf"""with {_CHARS}
+# Rows of which the tables have none, for both sides: (doc_id, text).
+FIXTURE = [(-1, "Заңның 12 бабы, 3 ші қабат, ҚРның заңы"), (-2, "Глава ІІ и ХІV, статья V, том І"), (-3, "12 бап 5 тармағы 1 інші"), (-4, "ҚРға, АҚШтан, БҰҰның, ЖШСнің")]
+_FIXTURE = "(values " + ", ".join(f"(cast({i} as bigint), '{t}')" for i, t in FIXTURE) + ") as fixture(doc_id, text)"
+_FIXED_CHARS = _CHARS.replace("from documents where text is not null", f"from (select doc_id, text from documents union all select doc_id, text from {_FIXTURE}) where text is not null")
+
+
+@query(rf"""with {_FIXED_CHARS}
 select 'kk.hyphen_ordinal' as rule_id, doc_id, para, start_pos from chars where {_NO_WORD} and regexp_matches(rest, '^\p{{Nd}}+ {alternatives(X.NUMBERED_NOUNS_KK, quote=False)}[{X.LOW_KK}]*([^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]|$)')
 union all select 'kk.hyphen_suffix', doc_id, para, start_pos from chars where {_NO_WORD} and regexp_matches(rest, '^\p{{Nd}}+ {alternatives(X.NUMBER_SUFFIXES_KK, quote=False)}([^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]|$)')
 union all select 'kk.hyphen_abbrev', doc_id, para, start_pos from chars where {_NO_WORD} and regexp_matches(rest, '^[{X.UP}]{{2,6}}{alternatives(X.ABBREVIATION_AFFIXES_KK)}([^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]|$)')
 union all select 'alpha.roman', doc_id, para, start_pos from chars where {_NO_WORD} and regexp_matches(rest, '^[ІХV]{{2,5}}([^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]|$)') and regexp_matches(rest, '^V*[ІХ]')""")
 def kk_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = [r for r in rules.default_rules() if r.id.startswith("kk.hyphen") or r.id == "alpha.roman"]
-    found = rules.rule_issues(_lines(spark, sf_dir).withColumn("lang", F.lit("kk")), chosen)
+    fixture = corpus.paragraphs_of(spark.createDataFrame(FIXTURE, "doc_id bigint, text string"))
+    found = rules.rule_issues(_lines(spark, sf_dir).unionByName(fixture).withColumn("lang", F.lit("kk")), chosen)
     return found.select("rule_id", "doc_id", "para", "start_pos")
 
 
@@ -237,7 +244,17 @@ def issues_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("rule_id", "rule_category", "lang", (F.col("engine") == F.col("rule_engine")).alias("same_engine")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""with recursive {_ISSUES}, o as (select issue_id, file_id, para, category, engine, start_pos as s, end_pos as e, case engine when 'rules' then 0 when 'user' then 0 when 'lt' then 1 when 'kk_spell' then 2 when 'ru_spell' then 2 else 9 end as p,
+  row_number() over (partition by file_id, para, category order by issue_id) as k from once),
+fold as (select file_id, para, category, k, [{{'id': issue_id, 's': s, 'e': e, 'p': p, 'g': engine}}] as kept from o where k = 1
+  union all select o.file_id, o.para, o.category, o.k,
+    case when coalesce(list_position(list_transform(f.kept, lambda x: x.s < o.e and o.s < x.e), true), 0) = 0 then list_append(f.kept, {{'id': o.issue_id, 's': o.s, 'e': o.e, 'p': o.p, 'g': o.engine}})
+    when f.kept[list_position(list_transform(f.kept, lambda x: x.s < o.e and o.s < x.e), true)].p > o.p
+      then list_concat(list_append(f.kept[:list_position(list_transform(f.kept, lambda x: x.s < o.e and o.s < x.e), true) - 1], {{'id': o.issue_id, 's': o.s, 'e': o.e, 'p': o.p, 'g': o.engine}}), f.kept[list_position(list_transform(f.kept, lambda x: x.s < o.e and o.s < x.e), true) + 1:])
+    else f.kept end
+  from fold f join o on o.file_id is not distinct from f.file_id and o.para is not distinct from f.para and o.category is not distinct from f.category and o.k = f.k + 1),
+last as (select file_id, para, category, unnest(kept) as x from (select *, row_number() over (partition by file_id, para, category order by k desc) as r from fold) where r = 1)
+select x.id as issue_id, file_id, para, category, x.g as engine from last""")
 def issues_without_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read(spark, sf_dir, "issues").dropDuplicates().withColumn("seq", F.col("issue_id")).drop("suggestions")
     return issues.without_overlaps(found, ("file_id", "para")).select("issue_id", "file_id", "para", "category", "engine")
@@ -337,6 +354,11 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KNOWN = "known as (select word as form from w where small group by 1 having count(*) >= 3)"
 
 
+# Compounds that the texts do not have, for both sides: of listed parts, of one part that no list has, with empty parts.
+COMPOUNDS = ["иск-суд", "суд-", "-суд-иск-", "договор-суд-иск", "суд-ыыы", "суд"]
+_COMPOUNDS = "(values " + ", ".join(f"('{w}')" for w in COMPOUNDS) + ") as fixture(word)"
+
+
 @query(f"with {_WORDS}, {_KNOWN} select w.word, cast(sum(n) as bigint) as n from w anti join known k on lower(w.word) = k.form where small group by 1")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checkpointed(_corpus_words(spark, sf_dir).where("lower"))
@@ -344,13 +366,13 @@ def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("_low", F.lower("word")).join(known, "_low", "left_anti").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-@query(f"""with {_WORDS}, {_KNOWN}, c as (select distinct word, list_filter(string_split(word, '-'), lambda x: x <> '') as parts from w where contains(word, '-')),
+@query(f"""with {_WORDS}, {_KNOWN}, c as (select distinct word, list_filter(string_split(word, '-'), lambda x: x <> '') as parts from (select word from w union all select word from {_COMPOUNDS}) where contains(word, '-')),
 p as (select word, unnest(parts) as part from c where len(parts) > 1)
 select word from p left join known k on p.part = k.form group by word having bool_and(k.form is not null)""")
 def compounds_of_known_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checkpointed(_corpus_words(spark, sf_dir))
     known = corpus.lexicon_candidates(found, min_docs=3, min_courts=0).select(F.col("word").alias("form"))
-    return corpus.known_by_parts(found, known)
+    return corpus.known_by_parts(found.select("word").unionByName(spark.createDataFrame([(w,) for w in COMPOUNDS], "word string")), known)
 
 
 def corpus_lists(spark: SparkSession, sf_dir: str) -> Resources:
@@ -368,6 +390,85 @@ def checked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("rule_id", "category", "level").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
+_LEVELS = ", ".join(f"count_if(level = '{level}') as {level}s" for level in ("error", "warning", "hint"))
+_LINE = f"""concat_ws(' | ', 'абзац ' || (para + 1), {_TITLES["category"]}, {_TITLES["level"]},
+'«' || coalesce(fragment, '') || '»' || case when len(suggestions) > 0 then ' → ' || array_to_string(suggestions, ', ') else '' end, message)"""
+
+
+@query(f"""with {_ISSUES}, n as (select *, row_number() over (partition by file_id order by issue_id) as number from found),
+r as (select file_id, count(*) as issues, {_LEVELS}, string_agg({_LINE}, chr(10) order by number) as body from n group by 1)
+select file_id, file_id || ': ' || issues || ' замечаний (ошибок ' || errors || ', предупреждений ' || warnings || ', подсказок ' || hints || ')' || chr(10) || chr(10) || body as report from r""")
+def document_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole report of every file, its issues in the order of their ids."""
+    from pyspark.sql import Window
+
+    numbered = _issues(spark, sf_dir).withColumn("number", F.row_number().over(Window.partitionBy("file_id").orderBy("issue_id")))
+    return reports.document_reports(numbered, "file_id")
+
+
+@query(f"""with {_ISSUES} select file_id, para, start_pos, end_pos, {_TITLES["category"]} || ': ' || message || case when len(suggestions) > 0 then ' → ' || array_to_string(suggestions[1:2], ', ') else '' end as comment
+from (select f.*, p.where_in from found f left join (select file_id, para, min(where_in) as where_in from paras group by 1, 2) p on f.file_id = p.file_id and f.para = p.para) where where_in is null or where_in not in ('header', 'footer')""")
+def issue_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = read(spark, sf_dir, "paras").groupBy("file_id", "para").agg(F.min("where_in").alias("where_in"))
+    found = _issues(spark, sf_dir).join(places, ["file_id", "para"], "left").withColumn("where_in", F.coalesce("where_in", F.lit("body")))
+    return reports.comments(found.withColumnRenamed("file_id", "doc_id")).withColumnRenamed("doc_id", "file_id")
+
+
+_FIXES = "fixes as (select distinct file_id, para, start_pos, end_pos, suggestions[1] as replacement from once where category = 'typography' and len(suggestions) > 0 and start_pos is not null and end_pos is not null)"
+
+
+@query(f"""with {_ISSUES}, {_FIXES}, m as (select o.issue_id, o.start_pos, o.end_pos, coalesce(bool_or(f.start_pos < o.end_pos and o.start_pos < f.end_pos), false) as hit,
+  coalesce(sum(case when f.end_pos <= o.start_pos then length(f.replacement) - (f.end_pos - f.start_pos) end), 0) as delta
+  from once o left join fixes f on o.file_id = f.file_id and o.para = f.para group by 1, 2, 3)
+select issue_id, cast(start_pos + case when hit then 0 else delta end as integer) as start_pos, cast(end_pos + case when hit then 0 else delta end as integer) as end_pos, case when hit then 'closed' else 'open' end as status from m""")
+def shifted_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All issues after the first suggestions of the typographical ones were applied."""
+    found = read(spark, sf_dir, "issues").dropDuplicates()
+    fixes = found.where("category = 'typography' and size(suggestions) > 0 and start_pos is not null and end_pos is not null").select("file_id", "para", "start_pos", "end_pos", F.col("suggestions")[0].alias("replacement")).distinct()
+    moved = edits.shifted(found.withColumn("status", F.lit("open")), fixes, ("file_id", "para"))
+    return moved.select("issue_id", F.col("start_pos").cast("int").alias("start_pos"), F.col("end_pos").cast("int").alias("end_pos"), "status")
+
+
+@query(f"""with {_ISSUES}, o as (select *, row_number() over (partition by file_id order by para, start_pos, end_pos, case engine when 'rules' then 0 when 'user' then 0 when 'lt' then 1 when 'kk_spell' then 2 when 'ru_spell' then 2 else 9 end, issue_id) as number from found),
+s as (select *, case when number = 1 then 'skipped' when category = 'spelling' and lower(fragment) in (select distinct lower(fragment) from found f where f.file_id = o.file_id and f.category = 'spelling' and f.issue_id % 7 = 0) then 'closed' when rule_id = 'typo.dash' then 'closed' else 'open' end as status from o)
+select issue_id, number, status from s""")
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session of every file: its first issue skipped, words of every seventh issue added to a dictionary, one rule closed."""
+    found = _issues(spark, sf_dir).withColumn("seq", F.col("issue_id")).withColumnRenamed("file_id", "doc_id")
+    states = issues.skipped(issues.opened(found), found.select("doc_id", F.lit(1).alias("number")).distinct())
+    added = found.where("category = 'spelling' and issue_id % 7 = 0").select("doc_id", F.col("fragment").alias("entry"))
+    states = issues.closed_by_rule(issues.closed_by_word(states, added), "typo.dash")
+    return states.select("issue_id", "number", "status")
+
+
+# DuckDB counts bytes between words, so that letters of two bytes are written as one each.
+_BYTES = "translate(lower({}), 'абвгдеёжзийклмнопрстуфхцчшщъыьэюяәғқңөұүһі', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnop')"
+
+
+@query(f"""with {_WORDS}, {_KNOWN}, u as (select distinct word, {_BYTES.format("word")} as b from w anti join known k on lower(w.word) = k.form where small), listed as (select form, {_BYTES.format("form")} as b from known),
+near as (select u.word, f.form, row_number() over (partition by u.word order by levenshtein(u.b, f.b), f.form) as r
+  from u join listed f on abs(length(u.b) - length(f.b)) <= 1 and (levenshtein(u.b, f.b) <= 1
+    or length(u.b) = length(f.b) and exists (select 1 from unnest(range(1, length(u.b) + 1)) a(i), unnest(range(1, length(f.b) + 1)) c(j)
+      where substring(u.b, 1, i - 1) || substring(u.b, i + 1) = substring(f.b, 1, j - 1) || substring(f.b, j + 1))))
+select word, array_to_string(list(form order by r), ' ') as suggestions from near where r <= 5 group by word""")
+def suggested_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five known words one slip away from every unknown word of the texts."""
+    found = checkpointed(_corpus_words(spark, sf_dir).where("lower"))
+    known = checkpointed(corpus.lexicon_candidates(found, min_docs=3, min_courts=0).select(F.col("word").alias("form")))
+    unknown = found.select("word", F.lower("word").alias("form")).join(known, "form", "left_anti").select("word").distinct()
+    return spell.suggestions(unknown, known).select("word", F.array_join("suggestions", " ").alias("suggestions"))
+
+
+@query(f"""with {_WORDS}, {_KNOWN}, q as (select distinct word from w), p as (select word, unnest(list_filter(regexp_split_to_array(word, '[-''’]'), lambda x: x <> '')) as part from q where regexp_matches(word, '[-''’]')),
+parts as (select word, count(*) as n, bool_and(part in (select form from known)) as listed from p group by word)
+select q.word, q.word in (select form from known) or (coalesce(parts.listed, false) and parts.n > 1) as accepted from q left join parts on q.word = parts.word""")
+def accepted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The membership test of the spelling engine over every distinct word: in the list, or a compound of listed parts."""
+    found = checkpointed(_corpus_words(spark, sf_dir))
+    known = corpus.lexicon_candidates(found, min_docs=3, min_courts=0).select(F.col("word").alias("form"))
+    return spell.accepted_words(found, spell.Words("ru_spell", known)).select("word", "accepted")
+
+
 _EXPECTED = ", ".join("({}, '{}', {})".format(i, rule, "'" + fixed.replace("'", "''") + "'") for i, (rule, _, _, fixed) in enumerate(EXAMPLES) if fixed is not None)
 
 

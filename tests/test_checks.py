@@ -232,3 +232,13 @@ def test_pipeline_soglasno(spark):
     found = lambda m: [(r.doc_id, r.start_pos, r.suggestions) for r in check(texts, Resources(morphology=m)).where("rule_id = 'legal.soglasno'").orderBy("doc_id").collect()]
     assert found(table) == [(1, 9, ["договору"]), (3, 18, [])]
     assert found(table.drop("genitive", "dative")) == [] and found(None) == []
+
+
+def test_unknown_words_carry_suggestions(spark):
+    """Errors of the word lists have the near forms, hints for names and words of the other language have none."""
+    texts = spark.createDataFrame([(1, 0, "Суд взыскл долг с Ахметова, ыыыыы.", "ru")], "doc_id int, para int, text string, lang string")
+    forms = spark.createDataFrame([(w,) for w in ("суд", "Суд", "взыскал", "взыскали", "долг", "с")], "form string")
+    found = spell.spelling_issues(texts, spell.Words("ru_spell", forms), spell.Words("kk_spell", forms))
+    assert {r.rule_id: r.suggestions for r in found.where("start_pos < 20").collect()} == {"ru_spell:unknown": ["взыскал"], "ru_spell:name": []}
+    assert [r.suggestions for r in found.where("start_pos > 20").collect()] == [[]]
+    assert all(r.suggestions == [] for r in spell.spelling_issues(texts, spell.Words("ru_spell", forms), spell.Words("kk_spell", forms), suggest=0).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import io
 import zipfile
 from collections.abc import Iterator
@@ -20,18 +21,15 @@ RUN = pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("text", pa
 SCHEMA = "path string, para int, text string, where_in string, runs array<struct<start_pos:int,end_pos:int,text:string,bold:boolean>>, error string"
 
 
+def _piece(x: ET.Element) -> str:
+    """The text that one element of a run stands for."""
+    if x.tag == W + "t":
+        return x.text or ""
+    return {W + "tab": "\t", W + "ptab": "\t", W + "br": "\n", W + "cr": "\n", W + "noBreakHyphen": "-"}.get(x.tag, "")
+
+
 def _run_text(run: ET.Element) -> str:
-    out = []
-    for x in run:
-        if x.tag == W + "t":
-            out.append(x.text or "")
-        elif x.tag in (W + "tab", W + "ptab"):
-            out.append("\t")
-        elif x.tag in (W + "br", W + "cr"):
-            out.append("\n")
-        elif x.tag == W + "noBreakHyphen":
-            out.append("-")
-    return "".join(out)
+    return "".join(map(_piece, run))
 
 
 def _runs(p: ET.Element) -> Iterator[ET.Element]:
@@ -158,14 +156,49 @@ def corrected_bytes(content: bytes, fixes: list[tuple[int, int, int, str]]) -> b
         roots = {name: root for name, root, _, _ in parts}
         for para, start, end, new in sorted(fixes, key=lambda f: (f[0], -f[1])):
             _replace(parts[para][2], start, end, new)
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as copy:
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
             for item in z.infolist():
-                copy.writestr(item, ET.tostring(roots[item.filename], encoding="utf-8", xml_declaration=True) if item.filename in roots else z.read(item.filename))
+                target.writestr(item, ET.tostring(roots[item.filename], encoding="utf-8", xml_declaration=True) if item.filename in roots else z.read(item.filename))
     return out.getvalue()
 
 
+def _keep(run: ET.Element, start: int, end: int) -> None:
+    """Leave of a run's text only [start, end), with its properties and the other elements inside."""
+    at = 0
+    for x in list(run):
+        text = _piece(x)
+        a, b = max(start - at, 0), min(end - at, len(text))
+        at += len(text)
+        if not text or b - a == len(text):
+            continue
+        if a >= b:
+            run.remove(x)
+        else:  # only texts have more than one character
+            x.text = text[a:b]
+            x.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
+
+
+def _cut(p: ET.Element, place: int) -> None:
+    """Split the run of a paragraph that a place lies inside of; a run of a link is split inside the link."""
+    at = 0
+    parents = {id(r): q for q in (p, *p.findall(W + "hyperlink")) for r in q.findall(W + "r")}
+    for run in list(_runs(p)):
+        size = len(_run_text(run))
+        if at < place < at + size:
+            right = copy.deepcopy(run)
+            _keep(run, 0, place - at)
+            _keep(right, place - at, size)
+            parent = parents[id(run)]
+            parent.insert(list(parent).index(run) + 1, right)
+            return
+        at += size
+
+
 def annotated_bytes(content: bytes, notes: list[tuple[int, int, int, str]], author: str = "Checker") -> bytes:
-    """A copy with Word comments (para, start, end, comment) around the runs of each span; headers and footers get none."""
+    """A copy with Word comments (para, start, end, comment) around exactly each span; headers and footers get none.
+
+    Runs are split at the span's ends, their formatting is kept on both sides; a span may begin or end inside a link.
+    """
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         parts = list(_parts(z))
@@ -175,20 +208,24 @@ def annotated_bytes(content: bytes, notes: list[tuple[int, int, int, str]], auth
             name, _, p, where = parts[para]
             if where in ("header", "footer"):
                 continue
+            for place in (start, end):
+                _cut(p, place)
             at, inside = 0, []
+            parents = {id(r): q for q in (p, *p.findall(W + "hyperlink")) for r in q.findall(W + "r")}
             for run in _runs(p):
                 size = len(_run_text(run))
-                if at < end and start < at + size and run in list(p):
-                    inside.append(run)
+                if size and at < end and start < at + size:
+                    inside.append((parents[id(run)], run))
                 at += size
             if not inside:
                 continue
-            first, last = list(p).index(inside[0]), list(p).index(inside[-1])
-            p.insert(last + 1, ET.Element(W + "commentRangeEnd", {W + "id": str(n)}))
+            (before, first), (behind, last) = inside[0], inside[-1]
+            place = list(behind).index(last) + 1
+            behind.insert(place, ET.Element(W + "commentRangeEnd", {W + "id": str(n)}))
             ref = ET.Element(W + "r")
             ET.SubElement(ref, W + "commentReference", {W + "id": str(n)})
-            p.insert(last + 2, ref)
-            p.insert(first, ET.Element(W + "commentRangeStart", {W + "id": str(n)}))
+            behind.insert(place + 1, ref)
+            before.insert(list(before).index(first), ET.Element(W + "commentRangeStart", {W + "id": str(n)}))
             c = ET.SubElement(comments, W + "comment", {W + "id": str(n), W + "author": author})
             t = ET.SubElement(ET.SubElement(ET.SubElement(c, W + "p"), W + "r"), W + "t")
             t.text = text
@@ -198,10 +235,10 @@ def annotated_bytes(content: bytes, notes: list[tuple[int, int, int, str]], auth
         rels = ET.fromstring(z.read(rels_name)) if rels_name in z.namelist() else ET.Element("{http://schemas.openxmlformats.org/package/2006/relationships}Relationships")
         ET.SubElement(rels, rels.tag.replace("Relationships", "Relationship"), {"Id": "rIdComments", "Type": "http://schemas.openxmlformats.org/officeDocument/2006/relationships/comments", "Target": "comments.xml"})
         changed = {name: root for name, root in roots.items()} | {"[Content_Types].xml": types, rels_name: rels, "word/comments.xml": comments}
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as copy:
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
             for item in z.infolist():
                 if item.filename not in changed:
-                    copy.writestr(item, z.read(item.filename))
+                    target.writestr(item, z.read(item.filename))
             for name, root in changed.items():
-                copy.writestr(name, ET.tostring(root, encoding="utf-8", xml_declaration=True))
+                target.writestr(name, ET.tostring(root, encoding="utf-8", xml_declaration=True))
     return out.getvalue()

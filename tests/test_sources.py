@@ -76,6 +76,44 @@ def test_lists(spark, tmp_path):
     assert lists.disabled_rules(str(tmp_path / "off.txt")) == ["A", "C"] and lists.disabled_rules("none") == []
 
 
+def _commented(content):
+    """{comment id: the text between its marks}, over all runs of the main part in order."""
+    from xml.etree import ElementTree as ET
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        root = ET.fromstring(z.read("word/document.xml"))
+    inside, out = set(), {}
+    for x in root.iter():
+        if x.tag == docx.W + "commentRangeStart":
+            inside.add(x.get(docx.W + "id"))
+            out[x.get(docx.W + "id")] = ""
+        elif x.tag == docx.W + "commentRangeEnd":
+            inside.discard(x.get(docx.W + "id"))
+        elif x.tag == docx.W + "r":
+            for n in inside:
+                out[n] += docx._run_text(x)
+    return out
+
+
+def test_comments_lie_around_exactly_their_spans(content):
+    """Spans inside a run, over two runs, in a link, from a link on, over tabs and breaks, and touching or overlapping ones."""
+    notes = [(0, 1, 3, "a"), (0, 4, 9, "b"), (5, 4, 6, "c"), (5, 7, 11, "d"), (5, 9, 12, "e"), (0, 3, 4, "f"), (0, 2, 8, "g"), (1, 0, 2, "h")]
+    texts = [t for _, t, _, _ in docx.paragraphs_of_bytes(content)]
+    noted = docx.annotated_bytes(content, notes)
+    assert _commented(noted) == {str(n): texts[para][s:e] for n, (para, s, e, _) in enumerate(notes)}
+    assert [t for _, t, _, _ in docx.paragraphs_of_bytes(noted)] == texts
+    bold = [(r["text"], r["bold"]) for r in docx.paragraphs_of_bytes(noted)[0][3]]
+    assert "".join(t for t, b in bold if b) == "Жирный" and "".join(t for t, b in bold if not b) == " и обычный"
+
+
+def test_a_bad_entry_names_all_that_is_wrong(tmp_path):
+    p = tmp_path / "r.yaml"
+    p.write_text("- {найти: '(', уровень: x}\n- {найти: 'а*', сообщение: m, язык: de, категория: y}\n- 5\n- {найти: суд, сообщение: m, язык: null}\n", encoding="utf-8")
+    rules, errors = lists.user_rules(str(p))
+    assert [(r.id, r.lang, r.level, r.category) for r in rules] == [("user.4", "any", "warning", "style")]
+    assert [e.count("«") for e in errors] == [3, 3, 0] and errors[0].startswith("entry 1: «найти»")
+
+
 def test_user_rules(spark, tmp_path):
     from lexisteppe.operators.rules import rule_issues
 

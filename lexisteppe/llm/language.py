@@ -100,21 +100,53 @@ def split(line: str) -> list[list[str]]:
 
     A stop after one or two letters (initials, short forms) ends none.
     """
+    return [words for _, _, words in segments(line)]
+
+
+def segments(line: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of the sentences of a line, as :func:`split` takes them."""
     if "@" in line or "<" in line or "[" in line or "(" in line or "." in line[:-1]:
-        line = WEB.sub(" ", line)
-    out: list[list[str]] = []
+        line = WEB.sub(lambda m: " " * len(m.group()), line)
+    out: list[tuple[int, int, list[str]]] = []
     joined = False
-    for part in SENTENCES.split(line):
-        words = WORDS.findall(part)
+    at = 0
+    for end, after in [*(m.span() for m in SENTENCES.finditer(line)), (len(line), len(line))]:
+        words = WORDS.findall(line, at, end)
         if words:
             if joined:
-                out[-1] += words
+                out[-1] = (out[-1][0], after, out[-1][2] + words)
             else:
-                out.append(words)
+                out.append((at, after, words))
             joined = len(words[-1]) < 3
+        at = after
     return out
 
 
+def line_spans(coder: Coder, line: str) -> list[tuple[int, int, str, float, bool]]:
+    """(start, end, language, confidence, ambiguous) of the pieces of a line, neighbours of one language together.
+
+    A sentence below ``AMBIGUOUS`` is flagged and keeps the language of its own nearest codeword; it is not joined
+    with its neighbours.
+    """
+    parts = segments(line)
+    if not parts:
+        return []
+    best, sure = (x.tolist() for x in coder.classify([evidence(words) for _, _, words in parts]))
+    out: list[list] = []
+    for (start, end, words), k, p in zip(parts, best, sure, strict=True):
+        letters, doubtful = sum(map(len, words)), p < AMBIGUOUS
+        if out and out[-1][2] == coder.languages[k] and not doubtful and not out[-1][4]:
+            last = out[-1]
+            last[1], last[3], last[5] = end, (last[3] * last[5] + p * letters) / (last[5] + letters), last[5] + letters
+        else:
+            out.append([start, end, coder.languages[k], p, doubtful, letters])
+    found = []
+    for start, end, language, p, doubtful, _ in out:
+        piece = line[start:end]
+        found.append((start + len(piece) - len(piece.lstrip()), start + len(piece.rstrip()), language, p, doubtful))
+    return found
+
+
 def train(rows: list[tuple[str, str]], steps: int = 40, rate: float = 0.5, decay: float = 1e-7) -> Coder | None:
     """Fit the coder to the distinct sentences of labelled texts, then again without those it puts elsewhere.
 
@@ -262,6 +294,27 @@ def languages(texts: DataFrame, coder: Coder | None, id_column: str, with_lines:
     return arrow_map(texts.select(id_column, "text", label.alias("_stored")), kernel, "row_id bigint, line_no int, lang string, confidence double, stored string", 500)
 
 
+def language_spans(texts: DataFrame, coder: Coder | None, id_column: str) -> DataFrame:
+    """(row_id, line_no, start_pos, end_pos, lang, confidence, ambiguous): the pieces of every line by language.
+
+    Positions are code points in the line, without white space around; lines without words have none.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(coder)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            out: list[tuple] = []
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text and known is not None:
+                    out += [(row, n, *span) for n, line in enumerate(text.split("\n")) for span in line_spans(known, line)]
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row_id", "line_no", "start_pos", "end_pos", "lang", "confidence", "ambiguous"])
+
+    return arrow_map(texts.select(id_column, "text"), kernel, "row_id bigint, line_no int, start_pos int, end_pos int, lang string, confidence double, ambiguous boolean", 500)
+
+
 def corpus_coder(documents: DataFrame, contexts: DataFrame, most_documents: int = 400, most_paragraphs: int = 5_000) -> Coder | None:
     """The coder of a collection, from bounded samples of its labelled documents and paragraphs."""
     return train(labelled(documents, "doc_id", most_documents) + labelled(contexts, "para_id", most_paragraphs))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import read
+from ..runtime import read, spread
 from . import boilerplate, canonical, language, leaks, names, pii, reading, sentences, terms, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,16 +28,21 @@ def p1_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, contexts = read(spark, sf_dir, "documents"), read(spark, sf_dir, "para_contexts")
     coder = language.corpus_coder(docs, contexts)
-    found = language.languages(docs, coder, "doc_id", True).select(F.lit("documents").alias("tbl"), "row_id", "line_no", "lang", "confidence")
+    found = language.languages(spread(docs), coder, "doc_id", True).select(F.lit("documents").alias("tbl"), "row_id", "line_no", "lang", "confidence")
     paras = sentences.distinct_texts(contexts)
     return found.unionByName(language.languages(paras, coder, "para_id", False).select(F.lit("para_contexts").alias("tbl"), "row_id", "line_no", "lang", "confidence"))
 
 
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, contexts = read(spark, sf_dir, "documents"), read(spark, sf_dir, "para_contexts")
+    return language.language_spans(spread(docs), language.corpus_coder(docs, contexts), "doc_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, contexts = read(spark, sf_dir, "documents"), read(spark, sf_dir, "para_contexts")
     coder = language.corpus_coder(docs, contexts)
     wrong = (F.col("line_no") >= 0) | ~F.col("lang").eqNullSafe(F.col("stored"))
-    found = language.languages(docs, coder, "doc_id", True, stored="lang").select(F.lit("documents").alias("tbl"), "row_id", "line_no", "lang", "stored")
+    found = language.languages(spread(docs), coder, "doc_id", True, stored="lang").select(F.lit("documents").alias("tbl"), "row_id", "line_no", "lang", "stored")
     paras = contexts.groupBy("para_id").agg(F.min_by(F.struct("text", "lang"), F.struct("text", "lang")).alias("r")).select("para_id", "r.*")
     found = found.unionByName(language.languages(paras, coder, "para_id", False, stored="lang").select(F.lit("para_contexts").alias("tbl"), "row_id", "line_no", "lang", "stored"))
     return found.where(wrong).drop("stored")
@@ -105,7 +110,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.levels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_labels")).select("doc_id", "level")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_languages, p3_found, p3_canonical, p4_found, p4_redacted, p5_found, p5_links, p6_found, p7_found, p7_counts, p8_ids, p9_found, p9_coverage, p10_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_clean, p1_sequences, p2_found, p2_languages, p2_segments, p3_found, p3_canonical, p4_found, p4_redacted, p5_found, p5_links, p6_found, p7_found, p7_counts, p8_ids, p9_found, p9_coverage, p10_found)}
 
 _P1_LINES = r"""
 lines as (

@@ -53,3 +53,28 @@ def test_held_out_accuracy(spark):
     out = list(L.judge(coder, [t for t, _ in held]))
     kept = [(x[0], lang) for x, (_, lang) in zip(out, held, strict=True) if x]
     assert sum(a == b for a, b in kept) / len(kept) > 0.95
+
+
+def test_spans_inside_a_line(coder):
+    """Pieces of one language together, with their places in the line; a sentence that nothing speaks for is flagged."""
+    line = f"  {RU[0]}. {RU[1]}. {KK[0]}. Name <a@b.kz> {EN[0]}.\r"
+    spans = L.line_spans(coder, line)
+    assert [x[2] for x in spans] == ["ru", "kk", "en"] and spans[0][0] == 2
+    assert line[spans[0][0] : spans[0][1]] == f"{RU[0]}. {RU[1]}." and line[spans[1][0] : spans[1][1]] == f"{KK[0]}." and line[spans[2][0] : spans[2][1]].startswith("Name <a@b.kz>")
+    assert L.line_spans(coder, "12 — !") == [] and L.line_spans(coder, "") == []
+    assert all(x[4] == (x[3] < L.AMBIGUOUS) for x in spans)
+
+
+def test_doubtful_sentences_are_flagged():
+    import numpy as np
+
+    unsure = L.Coder(["kk", "ru", "zh"], np.zeros((L.BUCKETS, 3), np.float32), np.ones(3, np.float32))
+    found = L.line_spans(unsure, "Первое слово здесь. Второе слово тут.")
+    assert len(found) == 2 and all(x[4] for x in found)
+
+
+def test_spans_of_tables(spark, coder):
+    df = spark.createDataFrame([(1, f"{RU[0]}.\n\n{KK[0]}.", "x"), (2, None, "x"), (3, "", None), (4, "42", None)], "doc_id bigint, text string, lang string")
+    rows = {tuple(r)[:5] for r in L.language_spans(df, coder, "doc_id").collect()}
+    assert rows == {(1, 0, 0, len(RU[0]) + 1, "ru"), (1, 2, 0, len(KK[0]) + 1, "kk")}
+    assert L.language_spans(df, None, "doc_id").count() == 0

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import arrow_map, spread
+from ..runtime import arrow_map
 
 # Short forms, written without their last full stop. A form with a space or a stop inside is listed
 # whole. NEEDS: something of the same sentence follows. MAY_END: may stand at a sentence's end.
@@ -255,7 +255,7 @@ def distinct_sentences(paragraphs: DataFrame, id_column: str = "para_id", text_c
             spans = [[{"start_pos": s, "end_pos": e} for s, e in sentence_offsets(t)] if t and LETTER.search(t) else [] for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span)], names=[id_column, "h", "spans"])
 
-    rows = spread(paragraphs.select(id_column, text_column)).select(id_column, F.xxhash64(text_column).alias("h"), text_column).where(F.col(text_column).isNotNull())
+    rows = paragraphs.select(id_column, F.xxhash64(text_column).alias("h"), text_column).where(F.col(text_column).isNotNull())
     found = arrow_map(rows, kernel, f"{id_column} {kind}, h bigint, spans array<struct<start_pos:int,end_pos:int>>")
     return found.groupBy(id_column).agg(F.min(F.struct("h", "spans")).alias("x")).select(id_column, F.inline("x.spans"))
 

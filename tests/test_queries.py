@@ -7,7 +7,6 @@ import pytest
 from lexisteppe.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
-EMPTY_HERE = {"kk_hyphens", "compounds_of_known_parts"}
 
 
 def _plain(value):
@@ -26,7 +25,7 @@ def test_equals_sql(spark, name):
     answer = con.execute(ORACLE_SQL[name])
     at = [d[0] for d in answer.description]
     want = sorted(repr([_plain(row[at.index(c)]) for c in columns]) for row in answer.fetchall())
-    assert sorted(at) == columns and got == want and (want or name in EMPTY_HERE or name in ("typography", "double_words"))
+    assert sorted(at) == columns and got == want and (want or name in ("typography", "double_words"))
 
 
 def test_entry(spark):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LETTERS
-from ..functions.segment import words
-from ..runtime import checkpointed, sized_join
+from ..functions.segment import WORD, words
+from ..runtime import arrow_map, checkpointed, sized_join
+from .onepass import compiled, is_lower, is_title
 
 FLAG_SHARE = 0.34
 
@@ -26,11 +31,15 @@ def share_language(text: Column) -> Column:
     return F.when(kk_share(text) > 1, "kk").otherwise("ru")
 
 
-def with_court(documents: DataFrame, acts: DataFrame) -> DataFrame:
-    """Documents with their court, else with the part of the file name before its first hyphen, in capitals."""
+def with_court(documents: DataFrame, acts: DataFrame, measured: bool = False) -> DataFrame:
+    """Documents with their court, else with the part of the file name before its first hyphen, in capitals.
+
+    ``measured``: by :func:`sized_join`, so that few courts are joined without moving the texts.
+    """
     courts = acts.where("court is not null").groupBy("doc_id").agg(F.min("court").alias("_court"))
     prefix = F.when(F.instr("filename", "-") > 0, F.upper(F.substring_index("filename", "-", 1))).otherwise(F.when(F.col("filename").isNotNull(), ""))
-    return documents.join(courts, "doc_id", "left").withColumn("court", F.coalesce("_court", prefix)).drop("_court")
+    joined = sized_join(documents, courts, ["doc_id"], "left") if measured else documents.join(courts, "doc_id", "left")
+    return joined.withColumn("court", F.coalesce("_court", prefix)).drop("_court")
 
 
 def stratified_sample(documents: DataFrame, quotas: dict[str, int], seed: str, least: int = 4_000, most: int = 30_000) -> DataFrame:
@@ -64,6 +73,73 @@ def corpus_words(documents: DataFrame) -> DataFrame:
     return joined.select("doc_id", "court", "word", "n", title.alias("title"), F.col("word").rlike(r"(?U)^[^\p{Lu}]*\p{Ll}[^\p{Lu}]*$").alias("lower"))
 
 
+_MOST_WORDS = 300_000
+
+
+def word_totals(documents: DataFrame) -> DataFrame:
+    """(word, lower, docs, courts): how many documents and courts have each small-letter word and, not ``lower``, each title.
+
+    What grouping the rows of :func:`corpus_words` gives, where every document is one row; words are counted in each
+    task before they are exchanged.
+    """
+    # The beginnings of corpus_words, with a line feed before the text.
+    begins = r"[.!?»\n\r\u0085\u2028\u2029](?:(?<=[.!?»])\s+|(?<![.!?»]))"
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, start, capital = compiled(WORD), compiled(rf"(?U){begins}([{LETTERS}]+(?:[-'’][{LETTERS}]+)*)"), compiled(r"(?U)\p{Lu}")
+        latin = compiled("[A-Za-z]")
+        kinds: dict[str, int] = {}
+        totals: dict[str | None, Counter] = {}
+
+        def kind(w: str) -> int:
+            return 0 if len(w) < 3 or latin.search(w) else 1 if is_lower(w) else 2 if is_title(w) else 0
+
+        def flushed() -> pa.RecordBatch:
+            rows = [(w, kinds[w] == 1, court, n) for court, counts in totals.items() for w, n in counts.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            totals.clear()
+            kinds.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.string(), pa.int64()), strict=True)], names=["word", "lower", "court", "n"])
+
+        for b in batches:
+            for court, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not text:
+                    continue
+                counts = Counter(word.findall(text))
+                for w in counts.keys() - kinds.keys():
+                    kinds[w] = kind(w)
+                titles = [w for w in counts if kinds[w] == 2] if capital.search(text) else []
+                begun = Counter(start.findall("\n" + text)) if titles else {}
+                here = totals.setdefault(court, Counter())
+                here.update([w for w in counts if kinds[w] == 1])
+                here.update([w for w in titles if counts[w] > begun.get(w, 0)])
+            if len(kinds) + sum(map(len, totals.values())) > _MOST_WORDS:
+                yield flushed()
+        yield flushed()
+
+    found = arrow_map(documents.select("court", "text"), kernel, "word string, lower boolean, court string, n bigint")
+    by_court = found.groupBy("word", "lower", "court").agg(F.sum("n").alias("n"))
+    return by_court.groupBy("word", "lower").agg(F.sum("n").alias("docs"), F.count("court").alias("courts"))
+
+
+def mined_lists(documents: DataFrame, acts: DataFrame, min_docs: int = 3, min_courts: int = 2, lower_share: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """The words of :func:`lexicon_candidates` and of :func:`corpus_names` as two lists (form), written, from one pass over the texts.
+
+    Documents of which an id stands in several rows, or none, are grouped by :func:`corpus_words`.
+    """
+    ids = documents.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if ids.where("n > 1 or doc_id is null").isEmpty():
+        totals = checkpointed(word_totals(with_court(documents, acts, measured=True)))
+        enough = totals.where((F.col("docs") >= min_docs) & (F.col("courts") >= min_courts))
+        small = totals.where("lower").select(F.col("word").alias("_low"), F.col("docs").alias("_small"))
+        proper = enough.where(~F.col("lower")).join(small, F.lower("word") == F.col("_low"), "left").where(F.coalesce("_small", F.lit(0)) <= lower_share * F.col("docs"))
+        forms = enough.where("lower")
+    else:
+        found = checkpointed(corpus_words(with_court(documents, acts)))
+        forms, proper = lexicon_candidates(found, min_docs=min_docs, min_courts=min_courts), corpus_names(found, None, min_docs, min_courts, lower_share)
+    return checkpointed(forms.select(F.col("word").alias("form"))), checkpointed(proper.select(F.col("word").alias("form")))
+
+
 def lexicon_candidates(words_: DataFrame, known: DataFrame | None = None, min_docs: int = 5, min_courts: int = 3) -> DataFrame:
     """(word, docs, courts) of small-letter words in enough documents and courts that no list (form) knows.
 

@@ -30,7 +30,8 @@ class Rule:
     """A rule's constants and what it finds: ``spans`` gives an array of (start, end, suggestions, message).
 
     ``may`` is a quick condition on the text without which a rule over tokens finds nothing; only where some such
-    condition holds are a paragraph's tokens and sentences found at all.
+    condition holds are a paragraph's tokens and sentences found at all. ``pattern`` (with its replacement) and ``limit`` tell
+    :mod:`onepass` the same.
     """
 
     id: str
@@ -41,6 +42,8 @@ class Rule:
     spans: Callable[[], Column] = field(repr=False)
     engine: str = "rules"
     may: Callable[[], Column] | None = field(default=None, repr=False)
+    pattern: tuple[str, str | None] | None = field(default=None, repr=False)
+    limit: int = 0
 
 
 def _span(start: Column, end: Column, suggestions: Column, message: Column) -> Column:
@@ -59,9 +62,11 @@ def pattern_rule(
     Matches whose replacement changes nothing are no issues.
     """
 
+    whole = ("(?iuU)" if ignore_case else "(?U)") + pattern
+
     def spans() -> Column:
         text = F.col("text")
-        found = finditer(text, ("(?iuU)" if ignore_case else "(?U)") + pattern, groups)
+        found = finditer(text, whole, groups)
         if condition is not None:
             found = F.filter(found, lambda m: condition(m, text))
         if replacement is None:
@@ -69,7 +74,7 @@ def pattern_rule(
         found = F.filter(found, lambda m: expand(replacement, m) != m["frag"])
         return F.transform(found, lambda m: _span(m["start"], m["end"], F.array(expand(replacement, m)), F.lit(message)))
 
-    return Rule(id, lang, category, level, message, spans, engine)
+    return Rule(id, lang, category, level, message, spans, engine, pattern=(whole, replacement))
 
 
 def _typo(id: str, message: str, pattern: str, replacement: str, groups: int = 0) -> Rule:
@@ -261,7 +266,7 @@ def default_rules(sentence_words: int = 60, morphology: dict[str, tuple[bool, st
         Rule("alpha.mixed", "any", "spelling", "error", _MIXED, _mixed_alphabet, may=lambda: F.col("text").rlike(rf"[A-Za-z][-'’]?[{X.CYR}]|[{X.CYR}][-'’]?[A-Za-z]")),
         Rule("alpha.roman", "any", "typography", "warning", _ROMAN, _roman),
         Rule("rep.double", "any", "style", "error", "The same word twice in a row", _double_word),
-        Rule("sent.long", "any", "style", "hint", "A very long sentence", _long_sentence(sentence_words), may=lambda: F.length(F.translate("text", ALL_LETTERS, "")) >= sentence_words),
+        Rule("sent.long", "any", "style", "hint", "A very long sentence", _long_sentence(sentence_words), may=lambda: F.length(F.translate("text", ALL_LETTERS, "")) >= sentence_words, limit=sentence_words),
         pattern_rule("legal.sootvetstvie", "ru", "grammar", "error", "«в соответствии с» is wanted", r"\bв соответствие (с|со)\b", r"в соответствии \1", 1, _not_after_privesti, True),
         pattern_rule("legal.v_techenie", "ru", "grammar", "error", "«в течение» is wanted of a time", rf"\bв течении(?= {alternatives(X.TIME_WORDS, quote=False)}\b)", "в течение", 0, None, True),
         soglasno_rule(morphology),

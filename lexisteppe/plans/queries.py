@@ -377,9 +377,7 @@ def compounds_of_known_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_lists(spark: SparkSession, sf_dir: str) -> Resources:
     """Word lists mined from the collection itself, as both languages' dictionaries."""
-    found = checkpointed(_corpus_words(spark, sf_dir))
-    forms = checkpointed(corpus.lexicon_candidates(found, min_docs=3, min_courts=2).select(F.col("word").alias("form")))
-    proper = checkpointed(corpus.corpus_names(found).select(F.col("word").alias("form")))
+    forms, proper = corpus.mined_lists(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "acts"))
     return Resources(ru=spell.Words("ru_spell", forms, names=proper), kk=spell.Words("kk_spell", forms, names=proper))
 
 

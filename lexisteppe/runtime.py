@@ -95,6 +95,14 @@ def is_small(df: DataFrame, most_bytes: int = MOST_BYTES) -> bool:
     return (df.agg(F.sum(width + 32)).first()[0] or 0) <= most_bytes
 
 
+def small_set(df: DataFrame | None, most_bytes: int = MOST_BYTES // 8) -> frozenset[str] | None:
+    """The values of a table's first column, if few bytes hold them: what workers may look up; else nothing."""
+    if df is None:
+        return frozenset()
+    values = checkpointed(df.select(F.col(df.columns[0]).alias("v")).where("v is not null").distinct())
+    return frozenset(r.v for r in values.toLocalIterator()) if is_small(values, most_bytes) else None
+
+
 def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", most_bytes: int = MOST_BYTES, salts: int = 16) -> DataFrame:
     """Join a large side with one that is probably small.
 
